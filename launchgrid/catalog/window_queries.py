@@ -198,10 +198,10 @@ def overlap_counts(d: Data):
 @query("cross_coverage", "#h #n_rows ~day_share ~cell_share",
        """SELECT h, count(*) AS n_rows, avg(CASE WHEN a.ds IS NOT NULL THEN 1.0 ELSE 0.0 END) AS day_share,
           avg(CASE WHEN b.ds IS NOT NULL THEN 1.0 ELSE 0.0 END) AS cell_share
-          FROM gd g LEFT JOIN (SELECT DISTINCT ds FROM fs WHERE qty > 100) a ON g.ds = a.ds
-          LEFT JOIN (SELECT DISTINCT site, ds FROM fs WHERE qty > 100) b ON g.site = b.site AND g.ds = b.ds GROUP BY h""")
+          FROM gd g LEFT JOIN (SELECT DISTINCT ds FROM fs) a ON g.ds = a.ds
+          LEFT JOIN (SELECT DISTINCT site, ds FROM fs) b ON g.site = b.site AND g.ds = b.ds GROUP BY h""")
 def cross_coverage(d: Data):
-    return profile.cross_coverage(d.rows, d.sparse.where("qty > 100"))
+    return profile.cross_coverage(d.rows, d.sparse)
 
 
 @query("structure_audit", "#n #nh #lo #hi #pairs",
