@@ -157,7 +157,7 @@ CTES["first_i"] = """SELECT c.*, f.producer_freq FROM (SELECT * FROM (SELECT *,
           CAST(lower(t.title) LIKE '%imax%' AS INTEGER) AS fmt_imax, CAST(regexp_matches(lower(t.title), '\\b3d\\b') AS INTEGER) AS fmt_3d,
           CAST(lower(t.title) LIKE '%dub%' AS INTEGER) AS fmt_dub, CAST(regexp_matches(lower(t.title), '4dx|4d|dolby|screenx|onyx|velvet|satin|deluxe|gold') AS INTEGER) AS fmt_premium,
           CAST(regexp_matches(lower(t.title), 're\\s*-?\\s*release|rerelease|encore') AS INTEGER) AS fmt_rerelease, CAST(contains(t.title, '(') AS INTEGER) AS has_paren,
-          length(t.title) AS title_len, len(list_filter(string_split(t.key, ' '), x -> x <> '')) AS n_words
+          length(t.title) AS title_len, len(list_filter(string_split(t.key, ' '), lambda x: x <> '')) AS n_words
           FROM (SELECT title, {_NORM.format(t='title')} AS key FROM titles) t LEFT JOIN first_i f ON t.key = f.key""")
 def item_meta(d: Data):
     part = d.table("part")

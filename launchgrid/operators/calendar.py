@@ -164,27 +164,28 @@ def daily_totals(facts: DataFrame) -> DataFrame:
 
 
 def mean_factors(facts: DataFrame, cal: DataFrame) -> DataFrame:
-    """Weekday factor and holiday multiplier from means: ``dow, g_dow, hol_mult``."""
-    day = daily_totals(facts).join(days_table(cal), "ds")
-    overall = day.agg(F.avg("qty").alias("_mean"))
-    by_dow = (day.groupBy("dow").agg(F.avg("qty").alias("_m")).crossJoin(one_row(overall))
-              .select("dow", (F.col("_m") / F.col("_mean")).alias("g_dow")))
-    resid = day.join(F.broadcast(by_dow), "dow").withColumn("_r", F.col("qty") / F.col("g_dow"))
-    mult = resid.agg(F.avg(F.when(F.col("hol") == 1, F.col("_r"))).alias("_h"),
-                     F.avg(F.when(F.col("hol") == 0, F.col("_r"))).alias("_n"))
-    return by_dow.crossJoin(one_row(mult.select(
-        clamp(F.coalesce(div("_h", "_n"), F.lit(1.0)), 0.7, 2.5).alias("hol_mult"))))
+    """Weekday factor and holiday multiplier from means: ``dow, g_dow, hol_mult``.
+
+    The facts are reduced to one row per day once; the rest are windows over that calendar.
+    """
+    day = daily_totals(facts).join(days_table(cal.select("ds", "dow", "hol")), "ds")
+    resid = day.selectExpr("dow", "hol", "qty", "avg(qty) over (partition by dow) / avg(qty) over () as g_dow").selectExpr(
+        "dow", "g_dow", "avg(case when hol = 1 then qty / g_dow end) over () as _h",
+        "avg(case when hol = 0 then qty / g_dow end) over () as _n")
+    return resid.groupBy("dow").agg(
+        F.first("g_dow").alias("g_dow"),
+        clamp(F.coalesce(div(F.first("_h"), F.first("_n")), F.lit(1.0)), 0.7, 2.5).alias("hol_mult"))
 
 
 def detrended_factors(facts: DataFrame, cal: DataFrame) -> DataFrame:
-    """The same from medians of each day over its centred seven-row mean."""
-    day = daily_totals(facts).withColumn("_roll", F.avg("qty").over(_all().rowsBetween(-3, 3)))
-    rat = day.where("_roll > 0").withColumn("_r", F.col("qty") / F.col("_roll")).join(days_table(cal), "ds")
-    by_dow = rat.groupBy("dow").agg(F.median(F.when(F.col("hol") == 0, F.col("_r"))).alias("_m")).select(
-        "dow", F.coalesce("_m", F.lit(1.0)).alias("f_dow"))
-    mult = rat.where("hol = 1").join(F.broadcast(by_dow), "dow").agg(
-        F.coalesce(F.median(F.col("_r") / F.col("f_dow")), F.lit(1.0)).alias("f_hol"))
-    return by_dow.crossJoin(one_row(mult))
+    """The same from medians of each day over its centred seven-row mean: ``dow, f_dow, f_hol``."""
+    rolled = daily_totals(facts).selectExpr(
+        "ds", "qty", "avg(qty) over (order by ds rows between 3 preceding and 3 following) as _roll").where("_roll > 0")
+    rat = rolled.join(days_table(cal.select("ds", "dow", "hol")), "ds").selectExpr("dow", "hol", "qty / _roll as _r")
+    by_dow = rat.selectExpr(
+        "*", "coalesce(median(case when hol = 0 then _r end) over (partition by dow), 1.0) as f_dow")
+    return (by_dow.selectExpr("dow", "f_dow", "coalesce(median(case when hol = 1 then _r / f_dow end) over (), 1.0) as f_hol")
+            .groupBy("dow").agg(F.first("f_dow").alias("f_dow"), F.first("f_hol").alias("f_hol")))
 
 
 def factor_calendar(cal: DataFrame, factors: DataFrame) -> DataFrame:
