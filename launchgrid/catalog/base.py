@@ -101,6 +101,9 @@ FRAME_COLUMNS = [
 ]
 
 
+NUDGE = "3e-10"
+
+
 def _columns(spec: str, spark: bool) -> list[str]:
     out = []
     for c in spec.split():
@@ -108,8 +111,9 @@ def _columns(spec: str, spark: bool) -> list[str]:
         if kind == "#":
             out.append(f"cast({name} as bigint) as {name}")
         elif kind == "~":
-            out.append(f"round(cast({name} as double), 6) + 0.0 as {name}" if not spark
-                       else f"round(cast({name} as double), 6) as {name}")
+            # The nudge moves the half-way point off short decimals, where the last bit of the two
+            # engines' arithmetic would decide the sixth place.
+            out.append(f"round(cast({name} as double) + {NUDGE}, 6)" + ("" if spark else " + 0.0") + f" as {name}")
         elif kind == "$":
             out.append(f"cast({name} as {'string' if spark else 'varchar'}) as {name}")
         else:
@@ -126,7 +130,7 @@ def with_ctes(body: str) -> str:
             if name not in need and re.search(rf"\b{name}\b", text):
                 need.add(name)
                 todo.append(sql)
-    parts = [f"{n} AS ({CTES[n]})" for n in CTES if n in need]
+    parts = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in CTES if n in need]
     return f"WITH {', '.join(parts)} {body}" if parts else body
 
 

@@ -146,8 +146,8 @@ CTES["items"] = """SELECT p_name AS title, p_type AS age_rating, concat(p_brand,
   concat(p_name, ',', p_brand, ', ,', p_type) AS casts FROM part"""
 CTES["cat_i"] = f"""SELECT title, upper(trim(title)) AS exact, {_NORM.format(t='title')} AS key, lower(trim(split_part(genre, ',', 1))) AS genre1,
   2 AS n_genres, 3 AS n_casts, regexp_replace(upper(age_rating), '\\s+', '', 'g') AS age, lower(trim(producer)) AS producer1 FROM items"""
-CTES["first_i"] = """SELECT c.*, f.producer_freq FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY title) AS rn FROM cat_i WHERE key <> '') a WHERE rn = 1) c
-  LEFT JOIN (SELECT producer1, count(*) AS producer_freq FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY title) AS rn FROM cat_i WHERE key <> '') b WHERE rn = 1) z GROUP BY producer1) f
+CTES["first_i"] = """SELECT c.*, f.producer_freq FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY title, genre1, age, producer1) AS rn FROM cat_i WHERE key <> '') a WHERE rn = 1) c
+  LEFT JOIN (SELECT producer1, count(*) AS producer_freq FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY title, genre1, age, producer1) AS rn FROM cat_i WHERE key <> '') b WHERE rn = 1) z GROUP BY producer1) f
   ON c.producer1 = f.producer1"""
 
 

@@ -25,3 +25,79 @@ def baselines(rows: DataFrame, prior: DataFrame) -> DataFrame:
     wide = rows.join(F.broadcast(prior.select("h", "prior")), "h").agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(F.abs(F.col("y") - F.greatest(p, F.lit(0.0)))).alias(k) for k, p in preds.items()])
     return wide.unpivot(["n"], list(preds), "baseline", "mase")
+
+
+# ------------------------------------------------------------------ back-off tables
+# Key levels from the most specific to the least, and the least group size.
+BACKOFF_LEVELS = [["h", "d1_dow", "pattern", "sb"], ["h", "d1_dow", "pattern"], ["h", "pattern", "sb"],
+                  ["h", "d1_dow"], ["h", "pattern"], ["h"]]
+CURVE_LEVELS = [["h", "dow", "trend", "size", "up"], ["h", "dow", "trend", "up"], ["h", "dow", "trend"], ["h", "dow", "up"],
+                ["h", "dow", "size"], ["h", "dow"], ["h", "trend"], ["h"]]
+
+
+def weighted_quantile(df: DataFrame, keys: list[str], value: str, count: str, q: float) -> DataFrame:
+    """Quantile of values given with repeat counts: ``keys, value, n``."""
+    from launchgrid.functions.ordered import running
+
+    run = running(df, keys, F.col(value), {"_c": F.col(count)})
+    pos = F.lit(q) * (F.col("_c_tot") - 1)
+    lo = F.floor(pos)
+    start, end = F.col("_c_cum") - F.col("_c"), F.col("_c_cum")
+    at = lambda k: F.max(F.when((start <= k) & (k < end), F.col("_v")))
+    lower, upper = at(lo), at(F.ceil(pos))
+    return run.groupBy(*keys).agg((lower + (upper - lower) * F.max(pos - lo)).alias("value"), F.max("_c_tot").alias("n"))
+
+
+def backoff_lookup(rows: DataFrame, table: DataFrame, levels: list[list[str]], by: list[str], name: str) -> DataFrame:
+    """The value of the most specific level present, else the overall one.
+
+    The keys are combinations of bins, so the table is bounded by the product of their sizes (a few
+    thousand), whatever the number of rows; it is folded to one map per ``by`` and level.
+    """
+    folded = table.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat_ws("#", F.col("level").cast("string"), F.col("key")).alias("k"), F.col("value").alias("v")))).alias("_t"))
+    look = [F.try_element_at("_t", F.concat_ws("#", F.lit(str(i)), F.concat_ws("|", *[F.col(c).cast("string") for c in lv])))
+            for i, lv in enumerate(levels)] + [F.try_element_at("_t", F.lit(f"{len(levels)}#"))]
+    out = rows.join(F.broadcast(folded), by) if by else rows.crossJoin(F.broadcast(folded))
+    return out.withColumn(name, F.coalesce(*look)).drop("_t")
+
+
+def backoff_fit_apply(rows: DataFrame, levels: list[list[str]], stat: str, least: int, k: int, name: str,
+                      positive_only: bool = False) -> DataFrame:
+    """Out-of-fold back-off prediction: fold f is predicted from the other folds.
+
+    Each training row counts towards the k - 1 folds it does not belong to; only the reduced counts
+    are repeated, not the rows.
+    """
+    train = rows.where("y > 0") if positive_only else rows
+    finest = list(dict.fromkeys(c for lv in levels for c in lv))
+    counts = train.groupBy("fold", *finest, "y").agg(F.count(F.lit(1)).alias("_w"))
+    others = counts.withColumn("fit_for", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold"))))
+    parts = [F.struct(F.lit(i).alias("level"), F.concat_ws("|", *[F.col(c).cast("string") for c in lv]).alias("key"))
+             for i, lv in enumerate(levels)] + [F.struct(F.lit(len(levels)).alias("level"), F.lit("").alias("key"))]
+    long = others.select(F.col("fit_for").alias("fold"), "y", "_w", F.inline(F.array(*parts)))
+    keys = ["fold", "level", "key"]
+    if stat == "median":
+        table = weighted_quantile(long, keys, "y", "_w", 0.5)
+    else:
+        table = long.groupBy(*keys).agg((F.sum(F.when(F.col("y") == 0, F.col("_w")).otherwise(0)) / F.sum("_w")).alias("value"), F.sum("_w").alias("n"))
+    table = table.where((F.col("n") >= least) | (F.col("level") == len(levels)))
+    return backoff_lookup(rows, table, levels, ["fold"], name)
+
+
+def item_curve_rows(wide_rows: DataFrame) -> DataFrame:
+    """Item-window ratio per horizon: target totals over the mean of the observed totals, with its bins.
+
+    ``wide_rows`` are target rows with ``t1..t3``, ``qty``, ``uplift_global`` and ``fold``.
+    """
+    agg = wide_rows.groupBy("item", "off", "h").agg(
+        F.min("d1").alias("d1"), F.min("fold").alias("fold"), F.sum("qty").alias("q"), F.sum("t1").alias("s1"), F.sum("t2").alias("s2"),
+        F.sum("t3").alias("s3"), F.count(F.lit(1)).alias("np"), F.min("uplift_global").alias("ug"))
+    from launchgrid.functions.scalar import BACKOFF_EDGES, TREND_EDGES, right_closed_bin
+
+    tot = F.col("s1") + F.col("s2") + F.col("s3")
+    return agg.select("item", "off", "h", "fold", F.weekday("d1").alias("dow"),
+                      right_closed_bin(F.col("s3") / F.greatest("s1", F.lit(1)), TREND_EDGES).alias("trend"),
+                      right_closed_bin(F.greatest(tot, F.lit(1)) / 1000.0, BACKOFF_EDGES).alias("size"),
+                      right_closed_bin(F.col("ug"), TREND_EDGES).alias("up"),
+                      (F.col("q") / F.greatest(tot / 3.0, F.lit(1.0))).alias("y"))

@@ -110,7 +110,7 @@ def catalogue(items: DataFrame) -> DataFrame:
         listed_count(F.col("genre"), "[,/|]").alias("n_genres"), listed_count(F.col("casts"), "[,;|]").alias("n_casts"),
         F.regexp_replace(F.upper("age_rating"), r"\s+", "").alias("age"),
         F.lower(first_listed(F.col("producer"), "[,;|]")).alias("producer1"))
-    freq = out.where("key <> ''").groupBy("key").agg(F.min_by("producer1", "title").alias("producer1")).groupBy("producer1").agg(
+    freq = out.where("key <> ''").groupBy("key").agg(F.min(F.struct("title", "genre1", "age", "producer1")).alias("_f")).groupBy(F.col("_f.producer1").alias("producer1")).agg(
         F.count(F.lit(1)).alias("producer_freq"))
     return out.join(freq, "producer1", "left")
 
@@ -122,7 +122,7 @@ def item_meta(titles: DataFrame, items: DataFrame) -> DataFrame:
     """Metadata of each title: by normalised key, else by the title without tags; first row wins."""
     cat = catalogue(items)
     one = lambda key, p: cat.where(F.col(key) != "").groupBy(key).agg(
-        F.min_by(F.struct(*_META), "title").alias(f"_{p}")).withColumnRenamed(key, f"_{p}k")
+        F.min(F.struct("title", *_META)).alias(f"_{p}")).withColumnRenamed(key, f"_{p}k")
     t = titles.select("title").distinct().withColumn("_ak", title_key(F.col("title"))).withColumn("_bk", title_untagged(F.col("title")))
     got = t.join(one("key", "a"), "_ak", "left").join(one("exact", "b"), "_bk", "left")
     m = F.coalesce("_a", "_b")
