@@ -106,18 +106,26 @@ def calibrate_horizon(frame: DataFrame, keys: list[str], pred: str, grid: list[f
 
 
 def snap_and_mult(frame: DataFrame, pred: str) -> DataFrame:
-    """Zero-snap threshold and horizon multipliers together: every pair of values in one pass."""
-    grid = list(product(SNAP_GRID, MULT_GRID))
-    err = grid_errors(frame, ["h"], grid, lambda g: f"abs(y - (case when {pred} < {g[0]}d then 0d else {g[1]}d * {pred} end))")
-    m = len(MULT_GRID)
-    parts = [F.struct(F.lit(i).alias("pos"), F.lit(t).alias("snap"), F.slice("errs", i * m + 1, m).alias("errs")) for i, t in enumerate(SNAP_GRID)]
-    per = err.select("h", "n", F.inline(F.array(*parts)))
+    """Zero-snap threshold and horizon multipliers together.
+
+    Below a threshold the error is that of zero, above it that of the multiplied prediction, so sums
+    per (h, interval between thresholds) give every combination: one pass with one set of columns.
+    """
+    step = sum([(F.col(pred) >= t).cast("int") for t in SNAP_GRID], F.lit(0))
+    cut = frame.withColumn("_cut", step)
+    zero = cut.groupBy("h", "_cut").agg(F.sum(F.abs("y")).alias("_z"))
+    sums = grid_errors(cut, ["h", "_cut"], MULT_GRID, mult_error(pred)).join(F.broadcast(zero), ["h", "_cut"])
+    # From here on: 7 horizons x 14 intervals x 13 thresholds.
+    tried = sums.select("h", "_cut", "n", "_z", "errs", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("pos"), F.lit(t).alias("snap")) for i, t in enumerate(SNAP_GRID)])))
+    above = F.col("_cut") > F.col("pos")
+    per = tried.groupBy("pos", "snap", "h").agg(
+        F.sum("n").alias("n"), F.array(*[F.sum(F.when(above, F.col("errs")[i]).otherwise(F.col("_z"))) for i in range(len(MULT_GRID))]).alias("errs"))
     values = F.array(*[F.lit(v) for v in MULT_GRID])
     per = per.select("pos", "snap", "h", "n", F.array_min("errs").alias("e"),
                      F.element_at(values, F.array_position("errs", F.array_min("errs")).cast("int")).alias("mult"))
-    total = per.groupBy("pos", "snap").agg(F.sum("e").alias("_e"), F.sum("n").alias("_n"))
-    best = total.agg(F.min(F.struct("_e", "pos")).alias("_b"))
-    # 7 horizons x 13 thresholds
+    total = per.groupBy("pos").agg(F.sum("e").alias("_e"))
+    best = total.agg(F.min(F.struct(F.round("_e", 9).alias("_e"), F.col("pos"))).alias("_b"))
     return (per.join(F.broadcast(best.select(F.col("_b.pos").alias("pos"))), "pos")
             .select("snap", "h", "mult", (F.col("e") / F.col("n")).alias("err")))
 
@@ -170,13 +178,11 @@ def crossfit_post(frame: DataFrame, k: int, weight: str | None = None) -> DataFr
     w = crossfit_grid(frame, [], BLEND_GRID, lambda g: f"abs(y - {g}d * A - {round(1 - g, 4)}d * B)", k, "wa", weight)
     out = frame.join(F.broadcast(w), "fold").withColumn("r1", F.expr("wa * A + (1 - wa) * B")).withColumn("zbin", tenth_bin(F.col("p0")))
     # The later fits of fold f see the other folds' rows under fold f's own earlier parameters.
-    tables = {"wa": w}
     train = others(frame.withColumn("zbin", tenth_bin(F.col("p0"))), k).join(
         F.broadcast(w.withColumnRenamed("fold", "fit_for")), "fit_for").withColumn("r1", F.expr("wa * A + (1 - wa) * B"))
     zm = best_of(grid_errors(train, ["fit_for", "zbin"], ZERO_GRID, mult_error("r1"), weight), ZERO_GRID, "zm", MIN_BIN).select("fit_for", "zbin", "zm")
     train = train.join(F.broadcast(zm), ["fit_for", "zbin"]).withColumn("r2", F.expr("r1 * zm"))
     hm = best_of(grid_errors(train, ["fit_for", "h"], HORIZON_GRID, mult_error("r2"), weight), HORIZON_GRID, "hm").select("fit_for", "h", "hm")
-    del tables
     out = (out.join(F.broadcast(zm.withColumnRenamed("fit_for", "fold")), ["fold", "zbin"], "left")
            .join(F.broadcast(hm.withColumnRenamed("fit_for", "fold")), ["fold", "h"], "left"))
     return out.withColumn("post", F.expr("greatest(r1 * coalesce(zm, 1.0) * coalesce(hm, 1.0), 0.0)"))
