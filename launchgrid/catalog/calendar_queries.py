@@ -232,12 +232,13 @@ CTES["shr_d"] = """SELECT a.site, a.dow, ((a.s / a.n) / (b.s / b.n) * a.n + g.g_
   JOIN (SELECT site, count(*) AS n, sum(qty) * 1.0 AS s FROM sod_d GROUP BY site) b ON a.site = b.site JOIN gfac_d g ON a.dow = g.dow"""
 CTES["calf_d"] = """SELECT k.ds, k.dow, g.g_dow, CASE WHEN k.hol = 1 THEN g.hol_mult ELSE 1.0 END AS hm,
   g.g_dow * CASE WHEN k.hol = 1 THEN g.hol_mult ELSE 1.0 END AS day_factor FROM cald k JOIN gfac_d g ON k.dow = g.dow"""
-CTES["scal_d"] = """SELECT s.site, c.ds, coalesce(f.site_factor, c.g_dow) * c.hm AS cf, c.day_factor FROM calf_d c
-  CROSS JOIN (SELECT DISTINCT site FROM fd) s LEFT JOIN shr_d f ON f.site = s.site AND f.dow = c.dow"""
-CTES["upl"] = """SELECT g.*, t.cf AS cf_target, (a.cf + b.cf + c.cf) / 3.0 AS base_cf, t.cf / greatest((a.cf + b.cf + c.cf) / 3.0, 1e-6) AS uplift,
-  t.day_factor / greatest((a.day_factor + b.day_factor + c.day_factor) / 3.0, 1e-6) AS uplift_global FROM gd g
-  JOIN scal_d t ON g.site = t.site AND g.ds = t.ds JOIN scal_d a ON g.site = a.site AND g.d1 = a.ds
-  JOIN scal_d b ON g.site = b.site AND g.d1 + 1 = b.ds JOIN scal_d c ON g.site = c.site AND g.d1 + 2 = c.ds"""
+CTES["scal_d"] = """SELECT *, (cf + lead(cf, 1) OVER w + lead(cf, 2) OVER w) / 3.0 AS base_cf,
+    (day_factor + lead(day_factor, 1) OVER w + lead(day_factor, 2) OVER w) / 3.0 AS base_day FROM
+  (SELECT s.site, c.ds, coalesce(f.site_factor, c.g_dow) * c.hm AS cf, c.day_factor FROM calf_d c
+   CROSS JOIN (SELECT DISTINCT site FROM fd) s LEFT JOIN shr_d f ON f.site = s.site AND f.dow = c.dow) x WINDOW w AS (PARTITION BY site ORDER BY ds)"""
+CTES["upl"] = """SELECT g.*, t.cf AS cf_target, a.base_cf, t.cf / greatest(a.base_cf, 1e-6) AS uplift,
+  t.day_factor / greatest(a.base_day, 1e-6) AS uplift_global FROM gd g
+  JOIN scal_d t ON g.site = t.site AND g.ds = t.ds JOIN scal_d a ON g.site = a.site AND g.d1 = a.ds"""
 
 
 def uplift_rows(d: Data):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import threading
 import time
 from pathlib import Path
 
@@ -12,6 +13,8 @@ from launchgrid.catalog import CATALOG
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+SQL_SECONDS = 60
+
 
 def connection(sf_dir: str):
     con = duckdb.connect()
@@ -41,9 +44,14 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
     t1 = time.time()
     if entry.sql is None:
         return len(got) > 0, f"rows only {len(got)} {t1 - t0:.1f}s"
-    cur = con.execute(entry.sql)
-    names = [c[0] for c in cur.description]
-    want = cur.fetchall()
+    stop = threading.Timer(SQL_SECONDS, con.interrupt)
+    stop.start()
+    try:
+        cur = con.execute(entry.sql)
+        names = [c[0] for c in cur.description]
+        want = cur.fetchall()
+    finally:
+        stop.cancel()
     t2 = time.time()
     cols = sorted(df.columns)
     if cols != sorted(names):
