@@ -10,6 +10,7 @@ from launchgrid.catalog.metric_queries import _backoff_sql, folded
 from launchgrid.functions.ordered import ranked
 from launchgrid.operators import calendar as cal_ops, correct, diagnose, metrics, models, windows
 from launchgrid.plans.features import feature_table
+from launchgrid.session import durable
 
 # ------------------------------------------------------------------ requests and predictions
 _SEVEN = "(SELECT CAST(unnest([4,5,6,7,8,9,10]) AS INTEGER) AS h) hh"
@@ -245,7 +246,8 @@ def model_rows(d: Data):
     rows = feature_table(d.dense_wide, Calendar(d.dense).cal)
     keep = ["item", "site", "off", "h", "y", "scale", "qty"]
     rows = folded(d, rows.select(*[F.col(c) for c in keep if c not in models.ML_FEATURES], *models.ML_FEATURES))
-    return models.assemble(rows.withColumn("_h", F.col("h")), models.ML_FEATURES)
+    # Every fold's fit reads these rows; the checkpoint keeps them from being built once per fit.
+    return durable(models.assemble(rows, models.ML_FEATURES))
 
 
 @query("ratio_model", "item site #off #h #fold ~y ~pred", None)
@@ -268,7 +270,7 @@ def adversarial(d: Data):
     """How well a classifier tells the pairs of the two fact views apart, on folds it has not seen."""
     cols = ["scale", "t1", "t2", "t3", "shw1", "shw2", "shw3"]
     side = lambda df, v: df.select(*cols, F.lit(v).alias("side"), F.pmod(F.xxhash64("item"), F.lit(2)).alias("fold"))
-    both = models.assemble(side(d.pairs, 0.0).unionByName(side(windows.observed_pairs(d.sparse_wide), 1.0)), cols)
+    both = durable(models.assemble(side(d.pairs, 0.0).unionByName(side(windows.observed_pairs(d.sparse_wide), 1.0)), cols))
     out = models.oof_predict(both, lambda t: models.fit_flag(t, "side", rounds=5), lambda s: models.p_one(s, "p"), 2)
     return metrics.auc(out, "p", F.col("side") == 1)
 
@@ -280,7 +282,7 @@ def opening_classifier(d: Data):
 
     cols = ["r1", "r2", "r3", "lr31", "lr32", "log_scale", "qty_per_slot", "rng3"]
     rows = folded(d, pair_features(d.pairs)).withColumn("opens", (F.col("off") <= 1).cast("double"))
-    rows = models.assemble(rows.select("item", "site", "off", "fold", "opens", *cols), cols)
+    rows = durable(models.assemble(rows.select("item", "site", "off", "fold", "opens", *cols), cols))
     sharp = lambda t: models.fit_flag(t.where("off <= 1 or off >= 7"), "opens", rounds=5)
     return models.oof_predict(rows, sharp, lambda s: models.p_one(s, "p_open"), 5)
 

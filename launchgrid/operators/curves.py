@@ -18,7 +18,7 @@ def monotone_curve(frame: DataFrame, keys: list[str], pred: str = "A", bins: int
     names = {f"e{i}": i / bins for i in range(bins + 1)}
     rows = frame.select(*keys, F.col(pred).alias("x"), "y", "w")
     if not keys:
-        rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
+        rows, keys = rows.withColumn("_one", F.lit(0)), ["_one"]
     edges = quantiles(rows, keys, "x", names, hot=hot).select(
         *keys, F.array_sort(F.array_distinct(F.array(*names))).alias("_edges"))
     # At most bins + 1 numbers per key; the keys are horizons and folds.
@@ -33,7 +33,7 @@ def monotone_curve(frame: DataFrame, keys: list[str], pred: str = "A", bins: int
         (F.row_number().over(w.orderBy("_b")) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("_n")).where("_n >= 3").drop("_n")
     bad = edges.select(*keys).join(good.select(*keys).distinct(), keys, "left_anti").select(
         *keys, F.inline(F.array(*[F.struct(F.lit(float(i)).alias("x"), F.lit(float(i)).alias("v"), F.lit(i).alias("k")) for i in (0, 1)])))
-    return good.unionByName(bad).drop("_all")
+    return good.unionByName(bad).drop("_one")
 
 
 def apply_curve(frame: DataFrame, knots: DataFrame, keys: list[str], pred: str, name: str) -> DataFrame:
