@@ -116,7 +116,7 @@ def crossfit_post(d: Data):
 @query("crossfit_horizon", "#fold #h ~mult",
        "SELECT ff AS fold, h, mult FROM (" + _best_sql("ff, h", c.WIDE_GRID, "abs(y - g * A)", "mult", "(SELECT f.*, ff FROM frf f JOIN five ON fold <> ff) z") + ") q")
 def crossfit_horizon(d: Data):
-    return c.crossfit_grid(folded(d, d.frame), ["h"], c.WIDE_GRID, c.mult_error("A"), 5, "mult")
+    return c.crossfit_grid(c.mult_errors(folded(d, d.frame), ["fold", "h"], c.WIDE_GRID, "A"), ["h"], c.WIDE_GRID, 5, "mult")
 
 
 # ------------------------------------------------------------------ absorbing zero

@@ -1,8 +1,7 @@
 """Grid calibration of ratio predictions.
 
-A grid is a list of aggregate columns, not a join: one pass over the rows sums the error of every
-grid value, with partial sums on the map side, and the argmin is taken on the handful of groups.
-Ties go to the earlier grid value.
+A grid is never joined to the rows: one pass sums what every grid value's error needs, with partial
+sums on the map side, and the argmin is taken on the handful of groups. Ties go to the earlier value.
 """
 
 from __future__ import annotations
@@ -51,8 +50,36 @@ def grid_errors(frame: DataFrame, keys: list[str], grid: list, error, weight: st
         *keys, "n", "den", F.array(*[f"_e{i}" for i in range(len(grid))]).alias("errs"))
 
 
+def mult_errors(frame: DataFrame, keys: list[str], grid: list[float], pred: str, weight: str | None = None) -> DataFrame:
+    """The same for the error of ``g * pred``, from three sums per interval between grid values.
+
+    |y - g p| is linear in g on either side of y / p, so a row only needs to say between which grid
+    values its turning point lies; running sums over the intervals give every grid value its error. A
+    turning point on a grid value adds nothing there, so the side it is put on does not matter. After
+    the first value the grid is evenly spaced.
+    """
+    w = weight or "1"
+    n, step = len(grid), grid[2] - grid[1]
+    turned = frame.selectExpr(
+        *keys, f"cast({w} as double) as _w", f"y * sign({pred}) as _y", f"cast(abs({pred}) as double) as _p", "abs(y) as _a")
+    t = f"(_y / nullif(_p, 0d))"
+    cell = (f"case when _p = 0 then 0 when {t} <= {grid[0]}d then 0 "
+            f"else cast(least(1d + greatest(ceil(({t} - {grid[1]}d) / {step}d), 0d), {n}d) as int) end as _bin")
+    sums = turned.selectExpr("*", cell).groupBy(*keys, "_bin").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_w").alias("den"), F.sum(F.expr("case when _p > 0 then _w * _y else 0d end")).alias("sy"),
+        F.sum(F.expr("_w * _p")).alias("sp"), F.sum(F.expr("case when _p = 0 then _w * _a else 0d end")).alias("c"))
+    bins = sums.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("den").alias("den"), F.sum("sy").alias("_sy"), F.sum("sp").alias("_sp"), F.sum("c").alias("_c"),
+        F.collect_list(F.struct("_bin", "sy", "sp")).alias("_b"))
+    below = lambda c: f"aggregate(filter(_b, b -> b._bin <= i), 0d, (a, b) -> a + b.{c})"
+    values = ", ".join(f"{g}d" for g in grid)
+    return bins.selectExpr(*keys, "n", "den", f"transform(array({values}), (g, i) -> _c + (_sy - g * _sp) "
+                           f"- 2 * ({below('sy')} - g * {below('sp')})) as errs")
+
+
 def best_of(errors: DataFrame, grid: list, name: str = "best", floor: int = 0, default: float = 1.0) -> DataFrame:
-    """First grid value with the least error; the default where a group has too few rows."""
+    """First grid value with the least error (to nine places); the default where a group has too few rows."""
+    errors = errors.withColumn("errs", F.expr("transform(errs, e -> round(e, 9))"))
     at = F.array_position("errs", F.array_min("errs")).cast("int")
     values = F.array(*[F.lit(float(g)) for g in grid])
     pick = F.element_at(values, at)
@@ -61,12 +88,12 @@ def best_of(errors: DataFrame, grid: list, name: str = "best", floor: int = 0, d
     return errors.withColumn(name, pick).withColumn("err", F.array_min("errs") / F.col("den"))
 
 
-def mult_error(pred: str):
-    return lambda g: f"abs(y - {g}d * {pred})"
+def blend_error(g: float) -> str:
+    return f"abs(y - {g}d * A - {round(1 - g, 4)}d * B)"
 
 
 def calibrate_blend(frame: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    err = grid_errors(frame, keys, BLEND_GRID, lambda g: f"abs(y - {g}d * A - {round(1 - g, 4)}d * B)", weight)
+    err = grid_errors(frame, keys, BLEND_GRID, blend_error, weight)
     return best_of(err, BLEND_GRID, "weight_a")
 
 
@@ -82,7 +109,7 @@ def calibrate_simplex(frame: DataFrame, preds: list[str], step: float = 0.1) ->
 def calibrate_zero(frame: DataFrame, keys: list[str], pred: str, weight: str | None = None) -> DataFrame:
     """Multiplier per tenth of the zero score, 1 where a tenth has too few rows."""
     binned = frame.withColumn("zbin", tenth_bin(F.col("p0")))
-    return best_of(grid_errors(binned, [*keys, "zbin"], ZERO_GRID, mult_error(pred), weight), ZERO_GRID, "zero_mult", MIN_BIN)
+    return best_of(mult_errors(binned, [*keys, "zbin"], ZERO_GRID, pred, weight), ZERO_GRID, "zero_mult", MIN_BIN)
 
 
 def zero_threshold(frame: DataFrame, keys: list[str], pred: str, weight: str | None = None) -> DataFrame:
@@ -95,12 +122,12 @@ def two_part(frame: DataFrame, score: str, positive: str, parts: int = 10) -> Da
     edges = quantiles(frame, [], score, {f"e{i}": i / parts for i in range(1, parts)}).drop("n")
     bin_ = sum([(F.col(score) >= F.col(f"e{i}")).cast("int") for i in range(1, parts)], F.lit(0))
     binned = frame.crossJoin(one_row(edges)).withColumn("decile", bin_)
-    return best_of(grid_errors(binned, ["decile"], TWOPART_GRID, mult_error(positive)), TWOPART_GRID, "mult")
+    return best_of(mult_errors(binned, ["decile"], TWOPART_GRID, positive), TWOPART_GRID, "mult")
 
 
 def calibrate_horizon(frame: DataFrame, keys: list[str], pred: str, grid: list[float] = HORIZON_GRID, weight: str | None = None) -> DataFrame:
     """Multiplier per key, with the error at 1 and a flag for an optimum on the lower edge."""
-    err = grid_errors(frame, keys, grid, mult_error(pred), weight)
+    err = mult_errors(frame, keys, grid, pred, weight)
     one = F.element_at("errs", grid.index(1.0) + 1) / F.col("den")
     return best_of(err, grid, "mult").withColumn("err_at_1", one).withColumn("pinned", (F.col("mult") <= grid[0] + 1e-9).cast("int"))
 
@@ -114,7 +141,7 @@ def snap_and_mult(frame: DataFrame, pred: str) -> DataFrame:
     step = sum([(F.col(pred) >= t).cast("int") for t in SNAP_GRID], F.lit(0))
     cut = frame.withColumn("_cut", step)
     zero = cut.groupBy("h", "_cut").agg(F.sum(F.abs("y")).alias("_z"))
-    sums = grid_errors(cut, ["h", "_cut"], MULT_GRID, mult_error(pred)).join(F.broadcast(zero), ["h", "_cut"])
+    sums = mult_errors(cut, ["h", "_cut"], MULT_GRID, pred).join(F.broadcast(zero), ["h", "_cut"])
     # From here on: 7 horizons x 14 intervals x 13 thresholds.
     tried = sums.select("h", "_cut", "n", "_z", "errs", F.inline(F.array(*[
         F.struct(F.lit(i).alias("pos"), F.lit(t).alias("snap")) for i, t in enumerate(SNAP_GRID)])))
@@ -156,15 +183,14 @@ def others(frame: DataFrame, k: int) -> DataFrame:
     return frame.withColumn("fit_for", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold"))))
 
 
-def crossfit_grid(frame: DataFrame, keys: list[str], grid: list, error, k: int, name: str, weight: str | None = None,
-                  floor: int = 0) -> DataFrame:
+def crossfit_grid(errors: DataFrame, keys: list[str], grid: list, k: int, name: str, floor: int = 0) -> DataFrame:
     """Best grid value per (fold, keys), fitted on the other folds.
 
-    The rows are summed once per own fold; the error of "all other folds" is a sum of those sums.
+    ``errors`` are grid errors keyed by (fold, keys): the rows are summed once per own fold, and the
+    error of "all other folds" is a sum of those sums.
     """
-    err = grid_errors(frame, ["fold", *keys], grid, error, weight)
     n = len(grid)
-    spread = others(err, k).groupBy("fit_for", *keys).agg(
+    spread = others(errors, k).groupBy("fit_for", *keys).agg(
         F.sum("n").alias("n"), F.sum("den").alias("den"), *[F.sum(F.col("errs")[i]).alias(f"_s{i}") for i in range(n)])
     fit = spread.withColumn("errs", F.array(*[f"_s{i}" for i in range(n)])).withColumnRenamed("fit_for", "fold")
     return best_of(fit, grid, name, floor).select("fold", *keys, name)
@@ -175,14 +201,14 @@ def crossfit_post(frame: DataFrame, k: int, weight: str | None = None) -> DataFr
 
     The parameter tables have at most k, 10 k and 7 k rows.
     """
-    w = crossfit_grid(frame, [], BLEND_GRID, lambda g: f"abs(y - {g}d * A - {round(1 - g, 4)}d * B)", k, "wa", weight)
+    w = crossfit_grid(grid_errors(frame, ["fold"], BLEND_GRID, blend_error, weight), [], BLEND_GRID, k, "wa")
     out = frame.join(F.broadcast(w), "fold").withColumn("r1", F.expr("wa * A + (1 - wa) * B")).withColumn("zbin", tenth_bin(F.col("p0")))
     # The later fits of fold f see the other folds' rows under fold f's own earlier parameters.
     train = others(frame.withColumn("zbin", tenth_bin(F.col("p0"))), k).join(
         F.broadcast(w.withColumnRenamed("fold", "fit_for")), "fit_for").withColumn("r1", F.expr("wa * A + (1 - wa) * B"))
-    zm = best_of(grid_errors(train, ["fit_for", "zbin"], ZERO_GRID, mult_error("r1"), weight), ZERO_GRID, "zm", MIN_BIN).select("fit_for", "zbin", "zm")
+    zm = best_of(mult_errors(train, ["fit_for", "zbin"], ZERO_GRID, "r1", weight), ZERO_GRID, "zm", MIN_BIN).select("fit_for", "zbin", "zm")
     train = train.join(F.broadcast(zm), ["fit_for", "zbin"]).withColumn("r2", F.expr("r1 * zm"))
-    hm = best_of(grid_errors(train, ["fit_for", "h"], HORIZON_GRID, mult_error("r2"), weight), HORIZON_GRID, "hm").select("fit_for", "h", "hm")
+    hm = best_of(mult_errors(train, ["fit_for", "h"], HORIZON_GRID, "r2", weight), HORIZON_GRID, "hm").select("fit_for", "h", "hm")
     out = (out.join(F.broadcast(zm.withColumnRenamed("fit_for", "fold")), ["fold", "zbin"], "left")
            .join(F.broadcast(hm.withColumnRenamed("fit_for", "fold")), ["fold", "h"], "left"))
     return out.withColumn("post", F.expr("greatest(r1 * coalesce(zm, 1.0) * coalesce(hm, 1.0), 0.0)"))
@@ -206,15 +232,17 @@ def absorb(cells: Column, tau: Column | float) -> Column:
 
 def fit_tau(pairs: DataFrame, grid: list[float] = TAU_GRID, k: int = 5) -> DataFrame:
     """Absorbing threshold per fold, fitted on the other folds' weighted error: ``fold, tau``."""
-    def cost(t: float) -> str:
-        # total of w * |y - absorbed| over the seven cells, from the left with a running state
-        return (f"aggregate(cells, named_struct('z', false, 's', 0d), (a, c) -> named_struct('z', a.z or coalesce(c.r < {t}d, false), "
-                f"'s', a.s + coalesce(c.w * abs(c.y - if(a.z or coalesce(c.r < {t}d, false), 0d, c.r)), 0d)), a -> a.s)")
-    sums = pairs.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.lit(1.0).alias("den"),
-                                     *[F.expr(f"sum({cost(t)})").alias(f"_e{i}") for i, t in enumerate(grid)])
-    n = len(grid)
-    fit = others(sums, k).groupBy("fit_for").agg(F.sum("n").alias("n"), F.sum("den").alias("den"), *[F.sum(f"_e{i}").alias(f"_s{i}") for i in range(n)])
-    return best_of(fit.withColumn("errs", F.array(*[f"_s{i}" for i in range(n)])), grid, "tau").select(F.col("fit_for").alias("fold"), "tau")
+    # A cell is zeroed once the least prediction so far is below tau, so that least value's place among
+    # the grid values decides, and two sums per place give every tau its cost.
+    cell = pairs.selectExpr("fold", "inline(transform(cells, (c, i) -> struct(c.y as y, c.w as w, c.r as r, "
+                            "array_min(transform(slice(cells, 1, i + 1), x -> x.r)) as least)))").where("r is not null and y is not null")
+    place = sum([(F.col("least") >= t).cast("int") for t in grid], F.lit(0))
+    sums = cell.groupBy("fold", place.alias("_p")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.expr("w * abs(y)")).alias("_z"), F.sum(F.expr("w * abs(y - r)")).alias("_k"))
+    folded = sums.groupBy("fold").agg(F.sum("n").alias("n"), F.lit(1.0).alias("den"), F.collect_list(F.struct("_p", "_z", "_k")).alias("_b"))
+    errs = folded.selectExpr("fold", "n", "den", f"transform(sequence(0, {len(grid) - 1}), i -> "
+                             "aggregate(_b, 0d, (a, b) -> a + if(b._p <= i, b._z, b._k))) as errs")
+    return crossfit_grid(errs, [], grid, k, "tau")
 
 
 def zero_persistence(pairs: DataFrame) -> DataFrame:
