@@ -137,14 +137,14 @@ def calendar_diff(rows: DataFrame, cal: DataFrame) -> DataFrame:
     eff = cal.withColumn("eff", F.greatest("dtype", F.col("hol") * 2))
     out = with_calendar(rows, eff, ["eff", "sch", "dtype", "hol"])
     return out.selectExpr(
-        "*", "eff_1 + eff_2 + eff_3 as eff_hist", "eff - (eff_1 + eff_2 + eff_3) / 3.0 as eff_diff",
-        "(sch_1 + sch_2 + sch_3) / 3.0 as sch_hist", "sch - (sch_1 + sch_2 + sch_3) / 3.0 as sch_diff",
+        "*", "eff_1 + eff_2 + eff_3 as eff_hist", "eff - (eff_1 + eff_2 + eff_3) / 3e0 as eff_diff",
+        "(sch_1 + sch_2 + sch_3) / 3e0 as sch_hist", "sch - (sch_1 + sch_2 + sch_3) / 3e0 as sch_diff",
         "weekday(ds) as dow", "weekday(d1) as d1_dow", "month(ds) as month", "day(ds) as dom")
 
 
 def run_features(rows: DataFrame, cal: DataFrame) -> DataFrame:
     out = with_calendar(rows, off_runs(cal), ["run"])
-    return out.selectExpr("*", "run as run_t", "(run_1 + run_2 + run_3) / 3.0 as run_h")
+    return out.selectExpr("*", "run as run_t", "(run_1 + run_2 + run_3) / 3e0 as run_h")
 
 
 def exposure(rows: DataFrame, cal: DataFrame, column: str, name: str) -> DataFrame:
@@ -209,6 +209,6 @@ def uplift(rows: DataFrame, factor_cal: DataFrame, site_dow: DataFrame) -> DataF
     out = spread_join(out, line, ["site"], "item")
     site = lambda s: f"coalesce(try_element_at(_f, dow{s}), g_dow{s}, 1.0) * hm{s}"
     return out.selectExpr(
-        "*", f"{site('')} as cf_target", f"({site('_1')} + {site('_2')} + {site('_3')}) / 3.0 as base_cf",
-        "day_factor / greatest((day_factor_1 + day_factor_2 + day_factor_3) / 3.0, 1e-6) as uplift_global",
+        "*", f"{site('')} as cf_target", f"({site('_1')} + {site('_2')} + {site('_3')}) / 3e0 as base_cf",
+        "day_factor / greatest((day_factor_1 + day_factor_2 + day_factor_3) / 3e0, 1e-6) as uplift_global",
     ).selectExpr("*", "cf_target / greatest(base_cf, 1e-6) as uplift").drop("_f")

@@ -19,7 +19,8 @@ def add_pattern(wide: DataFrame) -> DataFrame:
     ).drop("a1", "a2", "a3")
 
 
-# Name and expression, valid in both dialects (log1p is spelt out for the other engine).
+# Name and expression, valid in both dialects (log1p is spelt out for the other engine). Constants are
+# written with an exponent: a plain 3.0 is a decimal and would cut the quotient to six places.
 PAIR_FEATURES = {
     "sum3": "t1 + t2 + t3",
     "log_scale": "log1p(scale)",
@@ -37,7 +38,7 @@ PAIR_FEATURES = {
     "rate_mean": "(occ1 + occ2 + occ3) / greatest(cast(occ1 > 0 as int) + cast(occ2 > 0 as int) + cast(occ3 > 0 as int), 1)",
     "n_sold": "cast(t1 > 0 as int) + cast(t2 > 0 as int) + cast(t3 > 0 as int)",
     "run_rate": "(t1 + t2 + t3) / greatest(cast(t1 > 0 as int) + cast(t2 > 0 as int) + cast(t3 > 0 as int), 1)",
-    "scale_deflation": "3.0 / greatest(cast(t1 > 0 as int) + cast(t2 > 0 as int) + cast(t3 > 0 as int), 1)",
+    "scale_deflation": "3e0 / greatest(cast(t1 > 0 as int) + cast(t2 > 0 as int) + cast(t3 > 0 as int), 1)",
     "last_over_scale": "case when t3 > 0 then t3 when t2 > 0 then t2 else t1 end / scale",
 }
 
@@ -54,9 +55,9 @@ def item_days(wide: DataFrame) -> DataFrame:
 
 OPENING = {
     "nat_r31": "nt3 / nullif(nt1, 0)", "nat_r32": "nt3 / nullif(nt2, 0)", "nat_log": "log1p(nt1 + nt2 + nt3)",
-    "nat_tps3": "nt3 / nullif(ns3, 0)", "share3": "t3 / (nt3 + 1.0)",
-    "nat_scale": "greatest((nt1 + nt2 + nt3) / 3.0, 1.0)",
-    "nat_slope31": "(nt3 - nt1) / greatest((nt1 + nt2 + nt3) / 3.0, 1.0)",
+    "nat_tps3": "nt3 / nullif(ns3, 0)", "share3": "t3 / (nt3 + 1e0)",
+    "nat_scale": "greatest((nt1 + nt2 + nt3) / 3e0, 1e0)",
+    "nat_slope31": "(nt3 - nt1) / greatest((nt1 + nt2 + nt3) / 3e0, 1e0)",
     "nat_lr32": "log1p(nt3) - log1p(nt2)", "nat_lr31": "log1p(nt3) - log1p(nt1)",
     "pair_share": "(t1 + t2 + t3) / greatest(nt1 + nt2 + nt3, 1)",
     "nat_nc31": "nc3 / nullif(nc1, 0)", "nat_ns31": "ns3 / nullif(ns1, 0)", "nat_ns32": "ns3 / nullif(ns2, 0)",
@@ -97,8 +98,8 @@ def sibling_features(rows: DataFrame, family) -> DataFrame:
         F.count(F.lit(1)).alias("fam_n"), F.sum("t3").alias("fam_t3"), F.sum("t1").alias("fam_t1"), F.sum("scale").alias("fam_sc"))
     return out.join(total, ["family", "site", "off", "h"]).selectExpr(
         "*", "fam_n - 1 as sib_n", "fam_t3 - t3 as sib_t3", "fam_t1 - t1 as sib_t1", "fam_sc - scale as sib_sc",
-        "case when fam_t3 > 0 then t3 / fam_t3 else 1.0 end as sib_share",
-        "case when scale > 0 then (fam_sc - scale) / scale else 0.0 end as sib_rel")
+        "case when fam_t3 > 0 then t3 / fam_t3 else 1e0 end as sib_share",
+        "case when scale > 0 then (fam_sc - scale) / scale else 0e0 end as sib_rel")
 
 
 # ------------------------------------------------------------------ item metadata
