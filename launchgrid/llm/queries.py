@@ -7,11 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from launchgrid.llm import bpe, huffman, packing, tokens, toxicity
+from launchgrid.llm import bpe, huffman, near_vectors, packing, tokens, toxicity, tree_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+SQL["op7_near_vectors"] = """WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS x, sqrt(list_sum([c * c FOR c IN embedding::DOUBLE[]])) AS n FROM embeddings
+    WHERE embedding IS NOT NULL AND label IS NOT NULL),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.98),
+  reach AS (SELECT a AS node, b AS seen FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a),
+  c AS (SELECT node, min(seen) AS low FROM reach GROUP BY node),
+  d AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+  SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c.low, e.vec_id)) AS component_id,
+    e.vec_id = least(e.vec_id, coalesce(c.low, e.vec_id)) AS kept
+  FROM embeddings e LEFT JOIN c ON e.vec_id = c.node LEFT JOIN d ON e.vec_id = d.a"""
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -38,11 +50,22 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
 
 
+@query
+def op4_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "embeddings")
+    return tree_search.search(base, base.where("vec_id % 20 = 0"), 20)
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
+@query
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
