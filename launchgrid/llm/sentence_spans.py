@@ -48,7 +48,7 @@ def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0x9E3779B97F4A7C15
     inverse = pow(base, -1, 2**64)
-    make = lambda x: np.multiply.accumulate(np.concatenate([[1], np.full(n - 1, x, np.uint64)]).astype(np.uint64))
+    make = lambda x: np.multiply.accumulate(np.array([1] + [x] * (n - 1), np.uint64))
     return make(base), make(inverse)
 
 
