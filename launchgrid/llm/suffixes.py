@@ -14,10 +14,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from launchgrid.llm.common import CLEAN_UP, durable, mix, setting, ship, tasks
+from launchgrid.llm.common import durable, mix, ship, tasks
 
 LENGTH, K = 50, 16
 BUFFER = 4 << 20            # bytes of text hashed at a time
@@ -200,17 +201,78 @@ def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def covered(key: np.ndarray, data: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shift) of the strings data[begin + shift:][:LENGTH], shift < count, that a smaller key has too."""
+    """(row, shift) of the strings data[begin + shift:][:LENGTH], shift < count, that a smaller key has too.
+
+    Many strings are dealt into passes by their own hash, so that few are held at a time.
+    """
     row = np.repeat(np.arange(len(key)), count)
     shift = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    wide = -(-LENGTH // 8) * 8
-    text = np.zeros((len(row), wide), np.uint8)
-    text[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[begin[row] + shift]
-    order, run = multikey_order(text.view(">u8").astype(np.uint64))
-    k = key[row[order]]
-    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    hit = order[k > np.minimum.reduceat(k, first)[run]]
-    return row[hit], shift[hit]
+    view, wide = np.lib.stride_tricks.sliding_window_view(data, LENGTH), -(-LENGTH // 8) * 8
+
+    def words(r, s):
+        text = np.zeros((len(r), wide), np.uint8)
+        text[:, :LENGTH] = view[begin[r] + s]
+        return text.view(">u8").astype(np.uint64)
+
+    def late(r, s):
+        order, run = multikey_order(words(r, s))
+        k = key[r[order]]
+        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        hit = order[k > np.minimum.reduceat(k, first)[run]]
+        return r[hit], s[hit]
+
+    passes = -(-len(row) // (2 * SUFFIXES))
+    if passes <= 1:
+        return late(row, shift)
+    of = np.concatenate([mix((words(row[i: i + SUFFIXES], shift[i: i + SUFFIXES]) * np.arange(1, wide // 4, 2, dtype=np.uint64)).sum(1)) % np.uint64(passes)
+                         for i in range(0, len(row), SUFFIXES)])
+    found = [late(row[of == p], shift[of == p]) for p in range(passes) if (of == p).any()]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def settle(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(key, mark, start, stop) of the spans of a box that smaller documents hold too.
+
+    Of equal bytes around an anchor only those of the smallest document are sorted; the others are spans.
+    """
+    parts = [_grow(b) for b in blobs]
+    blobs.clear()
+    key, mark, start, inner, size = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(5))
+    body = b"".join(p[5] for p in parts)
+    del parts
+    ends = np.cumsum(size)
+    begin = ends - size
+    same = np.empty((len(key), 2), np.uint64)
+    for i, (a, e) in enumerate(zip(begin.tolist(), ends.tolist())):
+        h = xxhash.xxh3_128_intdigest(body[a:e])
+        same[i] = h >> 64, h & 0xFFFFFFFFFFFFFFFF
+    order = np.lexsort((key, same[:, 1], same[:, 0]))
+    new = np.concatenate([[True], (same[order[1:]] != same[order[:-1]]).any(1)])
+    least = np.empty(len(key), np.int64)
+    least[order] = key[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    late = least < key
+    spans = [(key[late], mark[late], start[late], start[late] + size[late])]
+    data = np.frombuffer(body, np.uint8)
+    rest = np.flatnonzero(~late)
+    lead = [data[(begin + inner)[rest][:, None] + np.arange(8 * w, 8 * w + 8)].view(">u8").reshape(-1).astype(np.uint64) for w in range(K // 8)]
+    order = np.lexsort(lead[::-1])
+    rest = rest[order]
+    change = np.flatnonzero(np.any([w[order][1:] != w[order][:-1] for w in lead], axis=0)) + 1
+    edges = np.concatenate([[0], change, [len(rest)]])
+    single = np.diff(edges) == 1
+    alone = np.zeros(len(rest), bool)
+    alone[edges[:-1][single]] = True
+    weight = np.concatenate([[0], np.cumsum(np.where(alone, 0, size[rest] - LENGTH + 1))])
+    i = 0
+    while i < len(edges) - 1:  # runs of anchors with equal leading bytes, as many as fit
+        j = max(i + 1, int(np.searchsorted(weight[edges], weight[edges[i]] + SUFFIXES, "right")) - 1)
+        mine = rest[edges[i]: edges[j]][~alone[edges[i]: edges[j]]]
+        if len(mine):
+            row, shift = covered(key[mine], data, begin[mine], size[mine] - LENGTH + 1)
+            at = start[mine][row] + shift
+            spans.append(joined(key[mine][row], mark[mine][row], at, at + LENGTH))
+        i = j
+    return joined(*(np.concatenate(x) for x in zip(*spans)))
 
 
 def marks_of(key, mark, start, stop, groups: int) -> list[tuple[int, bytes]]:
@@ -286,54 +348,15 @@ def find_repeats(src: DataFrame, shared: DataFrame, groups: int, boxes: int, cut
         return pa.Table.from_batches([_rows(out)])
 
     def meet(batches):
-        rows: list[tuple] = []
-        seen: dict[bytes, int] = {}
-        got: list[tuple] = []
+        held: dict[int, list[bytes]] = {}  # still shrunk; grown box by box
         for batch in batches:
             for box, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if box >= boxes:
                     yield _rows([(box - boxes, blob)])
                 else:
-                    got.append(blob)
-        done = []
-        for blob in got:  # equal bytes: only those of the smallest document are sorted
-            key, mk, start, inner, size, body = _grow(blob)
-            ends = np.cumsum(size.astype(np.int64))
-            for k, m, s, i, a, e in zip(key.tolist(), mk.tolist(), start.tolist(), inner.tolist(), (ends - size).tolist(), ends.tolist()):
-                b = body[a:e]
-                old = seen.get(b)
-                if old is None or k < old:
-                    seen[b] = k
-                rows.append((b[i: i + K], k, m, s, b))
-        del got
-        keep = []
-        for r in rows:
-            if seen[r[4]] < r[1]:
-                done.append((r[1], r[2], r[3], r[3] + len(r[4])))
-            else:
-                keep.append(r)
-        del rows, seen
-        keep.sort(key=lambda r: r[0])
-        spans = [tuple(np.array(c, np.int64) for c in zip(*done))] if done else []
-        i = 0
-        while i < len(keep):
-            j, n = i, 0
-            while j < len(keep) and (n < SUFFIXES or keep[j][0] == keep[j - 1][0]):
-                n += len(keep[j][4]) - LENGTH + 1
-                j += 1
-            chunk = keep[i:j]
-            i = j
-            chunk = [r for a, r in enumerate(chunk) if (a and chunk[a - 1][0] == r[0]) or (a + 1 < len(chunk) and chunk[a + 1][0] == r[0])]
-            if not chunk:
-                continue
-            key, mk, start = (np.array([r[c] for r in chunk], np.int64) for c in (1, 2, 3))
-            size = np.array([len(r[4]) for r in chunk])
-            data = np.frombuffer(b"".join(r[4] for r in chunk), np.uint8)
-            row, shift = covered(key, data, np.cumsum(size) - size, size - LENGTH + 1)
-            spans.append((key[row], mk[row], start[row] + shift, start[row] + shift + LENGTH))
-        if spans:
-            key, mk, start, stop = (np.concatenate(x) for x in zip(*spans))
-            out = marks_of(*joined(key, mk, start, stop), groups)
+                    held.setdefault(box, []).append(blob)
+        while held:
+            out = marks_of(*settle(held.popitem()[1]), groups)
             for i in range(0, len(out), 64):
                 yield _rows(out[i: i + 64])
 
