@@ -17,7 +17,6 @@ MINIMA = 128             # the first BANDS * ROWS make the bands, all make the s
 BITS = 4                 # kept of each minimum
 MARGIN = 0.13            # four deviations of the estimate at 0.85
 BLOCK = 2048
-PARTNERS = (4, 64, 1 << 30)  # best estimated partners that a document asks about, round by round
 CACHE_WORDS = 500_000
 
 
@@ -146,75 +145,118 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def partners(rows: DataFrame, least: float, percent: int, most: int) -> DataFrame:
-    """(a, b): the ``most`` best partners by estimate of each asking document within its block.
+def blocks(batches, handle, rows: int = 4 * BLOCK):
+    """Feed ``handle`` with whole blocks of rows in the order of (band, s, q), many small blocks at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        tab = pa.Table.from_batches(held).combine_chunks()
+        key = [tab.column(c).to_numpy() for c in ("band", "s", "q")]
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0))
+        cut = int(change[-1]) + 1 if len(change) else 0
+        if cut:
+            yield from handle(tab.slice(0, cut)).to_batches()
+        held, size = tab.slice(cut).to_batches(), tab.num_rows - cut
+    if size:
+        yield from handle(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+
+def plausible(tab: pa.Table, least: float, percent: int):
+    """(asking row, stored row, estimate) of the pairs of a block that may link and are not connected yet.
+
+    A pair that shares several bands is met in the first of them only.
+    """
+    n, comp = tab.column("n").to_numpy(), tab.column("comp").to_numpy()
+    sig = np.frombuffer(b"".join(tab.column("sig").to_pylist()), np.uint64).reshape(len(n), -1)
+    bands = tab.column("bands").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+    asks = tab.column("asks").to_numpy()
+    keys = [tab.column(c).to_numpy() for c in ("band", "s", "q")]
+    block = np.concatenate([[0], np.any([k[1:] != k[:-1] for k in keys], axis=0).cumsum()])
+    stored, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
+    lo, hi = np.searchsorted(block[stored], block[asking], "left"), np.searchsorted(block[stored], block[asking], "right")
+    at = np.concatenate([[0], np.cumsum(hi - lo)])
+    i = 0
+    while i < len(asking):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + 200_000, "right")) - 1)
+        size = (hi - lo)[i:j]
+        a = np.repeat(asking[i:j], size)
+        b = stored[np.repeat(lo[i:j], size) + np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)]
+        ok = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        a, b = a[ok], b[ok]
+        e = estimate(sig[a], sig[b])
+        ok = np.flatnonzero(e >= least)
+        a, b, e = a[ok], b[ok], e[ok]
+        ok = bands[a, (bands[a] == bands[b]).argmax(1)] == keys[0][a]
+        yield a[ok], b[ok], e[ok]
+        i = j
+
+
+def participants(rows: DataFrame, least: float, percent: int) -> DataFrame:
+    """The rows that have a plausible partner in their block, found from signatures alone."""
+    def handle(tab: pa.Table) -> pa.Table:
+        some = np.zeros(tab.num_rows, bool)
+        for a, b, _ in plausible(tab, least, percent):
+            some[a] = some[b] = True
+        return tab.filter(pa.array(some))
+
+    ordered = rows.repartition("band", "s", "q").sortWithinPartitions("band", "s", "q", "asks", "node")
+    return ordered.mapInArrow(lambda batches: blocks(batches, handle), rows.schema)
 
-    ``rows`` has band, s, q, node, n, sig, comp, asks. A partition is read in the order of its blocks,
-    many small blocks at a time, so what is held is bounded by the block size.
+
+def block_links(rows: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) that join all components whose documents link within a block.
+
+    Each asking document goes through its plausible partners by estimate and compares full sets
+    with those not connected to it so far. Pairs never leave the block, only new links do.
     """
     kind = rows.schema["node"].dataType.simpleString()
 
     def handle(tab: pa.Table) -> pa.Table:
-        node, n, comp = (tab.column(c).combine_chunks() for c in ("node", "n", "comp"))
-        n, comp = n.to_numpy(), comp.to_numpy(zero_copy_only=False)
-        names = tab.column("node").combine_chunks()
-        sig = np.frombuffer(b"".join(tab.column("sig").to_pylist()), np.uint64).reshape(len(n), -1)
-        asks = tab.column("asks").to_numpy()
-        block = np.concatenate([[True], np.any([tab.column(c).to_numpy()[1:] != tab.column(c).to_numpy()[:-1] for c in ("band", "s", "q")], axis=0)]).cumsum() - 1
-        stored, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
-        lo, hi = np.searchsorted(block[stored], block[asking], "left"), np.searchsorted(block[stored], block[asking], "right")
+        comp, items = tab.column("comp").to_numpy(), tab.column("items")
+        up: dict = {}
+
+        def root(x):
+            while x in up:
+                x = up[x]
+            return x
+
+        got: dict[int, np.ndarray] = {}
         out_a, out_b = [], []
-        step, at = 200_000, np.concatenate([[0], np.cumsum(hi - lo)])
-        i = 0
-        while i < len(asking):
-            j = max(i + 1, int(np.searchsorted(at, at[i] + step, "right")) - 1)
-            size = (hi - lo)[i:j]
-            a = np.repeat(asking[i:j], size)
-            b = stored[np.repeat(lo[i:j], size) + np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)]
-            ok = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-            a, b = a[ok], b[ok]
-            e = estimate(sig[a], sig[b])
-            ok = e >= least
-            a, b, e = a[ok], b[ok], e[ok]
-            order = np.lexsort((b, -e, a))
-            a, b = a[order], b[order]
-            rank = np.arange(len(a)) - np.searchsorted(a, a)
-            ok = rank < most
-            out_a.append(a[ok]), out_b.append(b[ok])
-            i = j
-        take = lambda x: names.take(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))
+        for a, b, e in plausible(tab, least, percent):
+            for i in np.lexsort((-e, a)).tolist():
+                x, y = int(a[i]), int(b[i])
+                rx, ry = root(comp[x]), root(comp[y])
+                if rx == ry:
+                    continue
+                for k in (x, y):
+                    if k not in got:
+                        got[k] = np.frombuffer(items[k].as_py(), np.uint64)
+                inter = len(np.intersect1d(got[x], got[y], assume_unique=True))
+                if 100 * inter >= percent * (len(got[x]) + len(got[y]) - inter):
+                    up[max(rx, ry)] = min(rx, ry)
+                    out_a.append(x), out_b.append(y)
+        names = tab.column("node").combine_chunks()
+        take = lambda x: names.take(pa.array(x, pa.int64()))
         return pa.table([take(out_a), take(out_b)], ["a", "b"])
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size < 4 * BLOCK:
-                continue
-            tab = pa.Table.from_batches(held).combine_chunks()
-            key = [tab.column(c).to_numpy() for c in ("band", "s", "q")]
-            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0))
-            cut = int(change[-1]) + 1 if len(change) else 0
-            if cut:
-                yield from handle(tab.slice(0, cut)).to_batches()
-            held, size = tab.slice(cut).to_batches(), tab.num_rows - cut
-        if size:
-            yield from handle(pa.Table.from_batches(held).combine_chunks()).to_batches()
-
-    ordered = rows.repartition("band", "s", "q").sortWithinPartitions("band", "s", "q", "asks", "node")
-    return ordered.mapInArrow(run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    full = rows.join(sets, "node")
+    ordered = full.repartition("band", "s", "q").sortWithinPartitions("band", "s", "q", "asks", "node")
+    return ordered.mapInArrow(lambda batches: blocks(batches, handle, BLOCK), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id, kept.
 
     Documents link where 100 * intersection >= percent * union of their sets of five-word shingles.
-    Equal sets become one node. Nodes that share a band are candidates: first each asks the
-    band's leader that it looks most like, then those apart from their leader ask the other nodes of the band,
-    best estimates first, until all candidates are confirmed, refuted or already connected. Nothing
-    is skipped for the size of a band: its rows meet in blocks of bounded size.
+    Equal sets become one node. Nodes that share a band are candidates: first each asks the one
+    leader of its bands that it looks most like; then those apart from a band's leader ask the
+    other nodes of the band, best estimates first, until all candidates are confirmed, refuted or
+    already connected. Nothing is skipped for the size of a band: its rows meet in blocks of
+    bounded size, and pairs do not leave them.
     Texts without words are empty and link with nothing, as do null keys, whose component is null.
     Rows that repeat a key are versions of one document and share its links.
     """
@@ -224,7 +266,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     sk = durable(sketches(src), "sketches")
     some = sk.where("n_shingles > 0 and doc_id is not null")
     groups = durable(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "groups")
-    rows = groups.select("node", "n", "sig", "h1", "h2", F.explode("bands").alias("band"))
+    rows = groups.select("node", "n", "sig", "h1", "h2", "bands", F.explode("bands").alias("band"))
     order = F.xxhash64("node", F.lit(9))
     leaders = durable(rows.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct(order.alias("o"), "node", "n", "sig")).alias("l")).where("m > 1").select(
         "band", F.col("l.node").alias("l_node"), F.col("l.n").alias("l_n"), F.col("l.sig").alias("l_sig")), "leaders")
@@ -245,27 +287,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     pairs = durable(asked.groupBy("node").agg(F.min(F.struct("differ", "l_node")).alias("x")).select(F.least("node", "x.l_node").alias("a"), F.greatest("node", "x.l_node").alias("b")).distinct(), "pairs")
     sets = durable(full_sets(src, rows.select("node", "h1", "h2").distinct()), "sets")
     links = durable(confirmed(pairs, sets, percent), "links")
-    for upto in PARTNERS:
-        comp = durable(components(links), "components")
-        placed = durable(rows.select("band", "node", "n", "sig", "l_node").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"), "placed")
-        apart = placed.groupBy("band").agg(F.max(F.when(F.col("node") == F.col("l_node"), F.col("comp"))).alias("lead"), F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        apart = durable(apart.select("band", "lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("s_n")), "apart")
-        mixed = placed.join(apart, "band")
-        salt = F.pmod(F.xxhash64("node"), F.col("s_n"))
-        all_salts = F.sequence(F.lit(0), F.col("s_n") - 1).cast("array<bigint>")
-        stored = mixed.select("band", "node", "n", "sig", "comp", F.lit(False).alias("asks"), salt.alias("s"), F.explode(all_salts).alias("q"))
-        asking = mixed.where("comp <> lead").select("band", "node", "n", "sig", "comp", F.lit(True).alias("asks"), F.explode(all_salts).alias("s"), salt.alias("q"))
-        more = durable(partners(stored.unionByName(asking.select(stored.columns)), least, percent, upto), "more")
-        done = more.isEmpty()
-        if not done:
-            new = durable(confirmed(more, sets, percent), "new")
-            links = links.unionByName(new)
-        for x in (placed, apart, more):
-            discard(x)
-        if done:
-            break
-    else:
-        comp = durable(components(links), "components")
+    comp = durable(components(links), "components")
+    placed = durable(rows.select("band", "bands", "node", "n", "sig", "l_node").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"), "placed")
+    apart = placed.groupBy("band").agg(F.max(F.when(F.col("node") == F.col("l_node"), F.col("comp"))).alias("lead"), F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    apart = durable(apart.select("band", "lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("s_n")), "apart")
+    mixed = placed.join(apart, "band")
+    salt = F.pmod(F.xxhash64("node"), F.col("s_n"))
+    all_salts = F.sequence(F.lit(0), F.col("s_n") - 1).cast("array<bigint>")
+    stored = mixed.select("band", "bands", "node", "n", "sig", "comp", F.lit(False).alias("asks"), salt.alias("s"), F.explode(all_salts).alias("q"))
+    asking = mixed.where("comp <> lead").select("band", "bands", "node", "n", "sig", "comp", F.lit(True).alias("asks"), F.explode(all_salts).alias("s"), salt.alias("q"))
+    near = durable(participants(stored.unionByName(asking), least, percent), "participants")
+    discard(placed)
+    comp = durable(components(links.unionByName(durable(block_links(near, sets, least, percent), "links"))), "components")
     named = sk.join(groups.select("h1", "h2", "node"), ["h1", "h2"], "left").join(comp, "node", "left")
     out = named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
