@@ -9,11 +9,11 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from functools import lru_cache
+from itertools import chain
 
-import numpy as np
-
-CACHE_CHUNKS = 900_000
+CACHE_CHUNKS = 1_200_000
 LONG = 48  # longer chunks are not kept
 PUNCT = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'  # fixed values: ASCII marks without the apostrophe
 _GAP = re.compile(r"(?<=\S)(?= \S)")
@@ -59,22 +59,22 @@ class Encoder:
         return [chunk.lower() if self.words and chunk.isascii() and chunk.isalpha() else chunk]
 
     def _encode(self, atoms: list[str]) -> list[bytes]:
-        if self.words:  # plain words need no normalising: straight to the merges
-            tokenize, out = self.tokenizer.model.tokenize, [b""] * len(atoms)
-            plain = [i for i, a in enumerate(atoms) if a.isascii() and a.isalpha() and a.islower()]
-            for i in plain:
-                out[i] = np.array([t.id for t in tokenize(atoms[i])], "<u4").tobytes()
-            seen = set(plain)
-            rest = [i for i in range(len(atoms)) if i not in seen]
-            for i, e in zip(rest, self.tokenizer.encode_batch_fast([atoms[i] for i in rest], add_special_tokens=False)):
-                out[i] = np.array(e.ids, "<u4").tobytes()
-            return out
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(atoms, add_special_tokens=False)]
+        """Plain ASCII words, with the space before them, are one match each: straight to the merges."""
+        tokenize, out, rest = self.tokenizer.model.tokenize, [b""] * len(atoms), []
+        for i, a in enumerate(atoms):
+            bare = a[1:] if a[:1] == " " else a
+            if bare.isascii() and bare.isalpha() and (not self.words or a.islower() and bare is a):
+                out[i] = array("I", [t.id for t in tokenize(a if bare is a else "\u0120" + bare)]).tobytes()
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([atoms[i] for i in rest], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunks = [self.cut(t) for t in texts]
         known, late = self.known, {}
-        new = {c for cs in chunks for c in cs if c not in known}
+        new = set(chain.from_iterable(chunks)).difference(known)
         if new:
             parts = {c: self._atoms(c) for c in new}
             todo = list({a for p in parts.values() for a in p if a not in known})
