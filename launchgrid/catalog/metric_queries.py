@@ -47,12 +47,12 @@ CTES["tf_s"] = "SELECT item, d1, ntile(5) OVER (ORDER BY d1, item) - 1 AS fold F
 
 @query("time_purge", "#own_fold #train_for #pairs",
        """SELECT own_fold, train_for, count(*) AS pairs FROM (SELECT t.fold AS own_fold, b.fold AS train_for FROM ps p LEFT JOIN tf_s t ON p.item = t.item
-            JOIN (SELECT fold, min(d1) AS s, max(d1) + 9 AS e FROM tf_s GROUP BY fold) b ON t.fold <> b.fold AND NOT (p.d1 <= b.e AND p.d1 + 9 >= b.s)) x
+            JOIN (SELECT fold, min(d1) AS s, max(d1) + 9 AS e FROM tf_s GROUP BY fold) b ON coalesce(t.fold, -1) <> b.fold AND NOT (p.d1 <= b.e AND p.d1 + 9 >= b.s)) x
           GROUP BY own_fold, train_for""")
 def time_purge(d: Data):
     pairs = windows.observed_pairs(d.sparse_wide)
     tf = folds.time_folds(folds.items_of(pairs.where("off = 0")))
-    out = folds.purged_training(pairs, tf).where("own_fold is not null")
+    out = folds.purged_training(pairs, tf)
     return out.groupBy("own_fold", "train_for").agg(F.count(F.lit(1)).alias("pairs"))
 
 
@@ -212,11 +212,13 @@ def auc(d: Data):
 
 
 _KEYSQL = f"(CAST(CAST(concat('0x', substring(md5(item), 1, 7)) AS UBIGINT) AS BIGINT) % {metrics.DRAW_M})"
-CTES["draws"] = "SELECT CAST(unnest(range(1, 201)) AS BIGINT) AS rep"
+CTES["draws"] = "SELECT CAST(unnest(range(1, 2001)) AS BIGINT) AS rep"
 
 
 def _boot_sql(frame: str, a: str, b: str) -> str:
-    c = f"(((k * {metrics.DRAW_A} + rep * {metrics.DRAW_B} + {metrics.DRAW_C} * k * rep) % {metrics.DRAW_M}) // 250001)"
+    u = f"((k * {metrics.DRAW_A} + rep * {metrics.DRAW_B} + {metrics.DRAW_C} * k * rep) % {metrics.DRAW_M})"
+    below = ", ".join(str(round(metrics.DRAW_M * x)) for x in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759))
+    c = f"len(list_filter([{below}], lambda t: t <= {u}))"
     return f"""SELECT quantile_cont(gain, 0.025) AS lo, quantile_cont(gain, 0.975) AS hi, avg(CASE WHEN gain > 0 THEN 1.0 ELSE 0.0 END) AS better, max(point) AS point, max(items) AS items FROM
       (SELECT rep, sum({c} * num) / sum({c} * den) AS gain FROM (SELECT item, {_KEYSQL} AS k, sum(w * (abs(y - {a}) - abs(y - {b}))) AS num, sum(w) * 1.0 AS den FROM {frame} GROUP BY item) s CROSS JOIN draws GROUP BY rep) r
       CROSS JOIN (SELECT sum(w * (abs(y - {a}) - abs(y - {b}))) / sum(w) AS point, count(DISTINCT item) AS items FROM {frame}) p"""

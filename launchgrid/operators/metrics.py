@@ -70,20 +70,28 @@ def item_scores(frame: DataFrame, a: str, b: str) -> DataFrame:
 
 # Multipliers and modulus of the draw generator, the same in any SQL engine.
 DRAW_A, DRAW_B, DRAW_C, DRAW_M = 7919, 104729, 17, 1000003
+# DRAW_M times the distribution function of a Poisson value of mean 1, at 0..6.
+DRAW_STEPS = (367881, 735761, 919701, 981015, 996343, 999409, 999920)
+DRAWS = 2000
 
 
-def paired_bootstrap(scores: DataFrame, draws: int = 200) -> DataFrame:
+def draw_count(u: str) -> str:
+    """How often an item is drawn, from a number below DRAW_M; the text is valid in both dialects."""
+    return "(" + " + ".join(f"CASE WHEN {u} >= {t} THEN 1 ELSE 0 END" for t in DRAW_STEPS) + ")"
+
+
+def paired_bootstrap(scores: DataFrame, draws: int = DRAWS) -> DataFrame:
     """Interval of the mean gain over items, resampled by arithmetic counts.
 
-    Every (item, replicate) takes a count of 0..3 from a generator, which stands for drawing with
-    replacement without drawing item pairs: one pass, replicates as columns of an array, partial sums
-    before the shuffle.
+    Every (item, replicate) takes a Poisson count of mean 1 from a generator, which has the spread
+    of drawing with replacement. The items are repeated once per replicate and summed in their
+    task before the shuffle.
     """
     key = F.conv(F.substring(F.md5(F.col("item").cast("binary")), 1, 7), 16, 10).cast("bigint")
     base = scores.withColumn("_k", key % DRAW_M)
-    count = lambda r: f"((pmod(_k * {DRAW_A} + {r} * {DRAW_B} + {DRAW_C} * _k * {r}, {DRAW_M})) div 250001)"
     rep = base.selectExpr("num", "den", "_k", f"explode(sequence(1, {draws})) as rep").selectExpr(
-        "rep", "num", "den", f"{count('rep')} as c")
+        "rep", "num", "den", f"pmod(_k * {DRAW_A} + rep * {DRAW_B} + {DRAW_C} * _k * rep, {DRAW_M}) as _u").selectExpr(
+        "rep", "num", "den", f"{draw_count('_u')} as c")
     per = rep.groupBy("rep").agg((F.sum(F.col("c") * F.col("num")) / F.sum(F.col("c") * F.col("den"))).alias("gain"))
     point = scores.agg((F.sum("num") / F.sum("den")).alias("point"), F.count(F.lit(1)).alias("items"))
     # One value per replicate: the percentiles see `draws` values.

@@ -26,12 +26,13 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder the cluster names.
 
-    The folder is only made up here when neither the session setting nor the context has one,
-    which is the case in tests.
+    Only a local master may go without a folder; it then gets a temporary one.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="launchgrid-ckpt-"))
     return df.checkpoint()

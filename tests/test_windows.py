@@ -219,3 +219,21 @@ def test_csv_round_trip(spark, tmp_path, facts):
 
 def test_simplex_grid():
     assert len(calibrate.simplex(4, 0.1)) == 286 and all(abs(sum(w) - 1) < 1e-9 for w in calibrate.simplex(3, 0.1))
+
+
+def test_bootstrap_counts_have_the_spread_of_drawing_with_replacement(spark):
+    from launchgrid.operators import metrics
+
+    n = 1_000_003
+    got = spark.range(n).selectExpr(f"{metrics.draw_count('id')} as c").selectExpr("avg(c) as m", "var_pop(c) as v").first()
+    assert abs(got.m - 1) < 1e-3 and abs(got.v - 1) < 2e-3
+    rows = [(f"i{i}", float(i % 7) - 2, 1.0) for i in range(400)]
+    out = metrics.paired_bootstrap(spark.createDataFrame(rows, "item string, num double, den double")).first()
+    sd = (sum((r[1] - sum(x[1] for x in rows) / 400) ** 2 for r in rows) / 400) ** 0.5 / 20
+    assert abs((out.hi - out.lo) / (2 * 1.96 * sd) - 1) < 0.12
+
+
+def test_early_shape_is_the_exponential():
+    from launchgrid.catalog import output_queries
+
+    assert abs(output_queries._SHAPES["early"][10] - 0.416446) < 1e-5
