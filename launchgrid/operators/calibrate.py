@@ -199,16 +199,30 @@ def crossfit_grid(errors: DataFrame, keys: list[str], grid: list, k: int, name:
 def crossfit_post(frame: DataFrame, k: int, weight: str | None = None) -> DataFrame:
     """Blend, zero-tenth and horizon steps, each fitted on the other folds: adds ``post``.
 
+    A later fit for fold f sees the other folds' rows under fold f's own earlier parameters. There are
+    k of those at most, so they travel as one array, and errors are summed per (parameters, own fold)
+    in one pass; what fold f may see is a sum of those sums.
     The parameter tables have at most k, 10 k and 7 k rows.
     """
     w = crossfit_grid(grid_errors(frame, ["fold"], BLEND_GRID, blend_error, weight), [], BLEND_GRID, k, "wa")
-    out = frame.join(F.broadcast(w), "fold").withColumn("r1", F.expr("wa * A + (1 - wa) * B")).withColumn("zbin", tenth_bin(F.col("p0")))
-    # The later fits of fold f see the other folds' rows under fold f's own earlier parameters.
-    train = others(frame.withColumn("zbin", tenth_bin(F.col("p0"))), k).join(
-        F.broadcast(w.withColumnRenamed("fold", "fit_for")), "fit_for").withColumn("r1", F.expr("wa * A + (1 - wa) * B"))
-    zm = best_of(mult_errors(train, ["fit_for", "zbin"], ZERO_GRID, "r1", weight), ZERO_GRID, "zm", MIN_BIN).select("fit_for", "zbin", "zm")
-    train = train.join(F.broadcast(zm), ["fit_for", "zbin"]).withColumn("r2", F.expr("r1 * zm"))
-    hm = best_of(mult_errors(train, ["fit_for", "h"], HORIZON_GRID, "r2", weight), HORIZON_GRID, "hm").select("fit_for", "h", "hm")
+    weights = w.agg(F.map_from_entries(F.collect_list(F.struct("fold", "wa"))).alias("_wa"))
+    rows = frame.withColumn("zbin", tenth_bin(F.col("p0"))).crossJoin(F.broadcast(weights))
+    out = rows.withColumn("wa", F.col("_wa")[F.col("fold")]).withColumn("r1", F.expr("wa * A + (1 - wa) * B")).drop("_wa")
+    # Folds with the same blend share their sums.
+    tried = rows.selectExpr("*", "explode(array_distinct(map_values(_wa))) as wa").withColumn("r1", F.expr("wa * A + (1 - wa) * B"))
+    of_fold = lambda errors, keys, n: w.select(F.col("fold").alias("fit_for"), "wa").join(errors, "wa").where("fold <> fit_for").groupBy("fit_for", *keys).agg(
+        F.sum("n").alias("n"), F.sum("den").alias("den"), *[F.sum(F.col("errs")[i]).alias(f"_s{i}") for i in range(n)]).select(
+        "fit_for", *keys, "n", "den", F.array(*[f"_s{i}" for i in range(n)]).alias("errs"))
+    zero = of_fold(mult_errors(tried, ["wa", "fold", "zbin"], ZERO_GRID, "r1", weight), ["zbin"], len(ZERO_GRID))
+    zm = best_of(zero, ZERO_GRID, "zm", MIN_BIN).select("fit_for", "zbin", "zm")
+    # A row of fold g trains the folds f <> g that have its blend, each with its own zero multiplier.
+    steps = zm.join(w.select(F.col("fold").alias("fit_for"), "wa"), "fit_for").groupBy("wa", "zbin", "zm").agg(F.collect_list("fit_for").alias("fits"))
+    second = tried.join(F.broadcast(steps), ["wa", "zbin"]).withColumn("r2", F.expr("r1 * zm"))
+    errs = mult_errors(second, ["fits", "fold", "h"], HORIZON_GRID, "r2", weight)
+    n = len(HORIZON_GRID)
+    level = errs.withColumn("fit_for", F.explode("fits")).where("fold <> fit_for").groupBy("fit_for", "h").agg(
+        F.sum("n").alias("n"), F.sum("den").alias("den"), *[F.sum(F.col("errs")[i]).alias(f"_s{i}") for i in range(n)])
+    hm = best_of(level.withColumn("errs", F.array(*[f"_s{i}" for i in range(n)])), HORIZON_GRID, "hm").select("fit_for", "h", "hm")
     out = (out.join(F.broadcast(zm.withColumnRenamed("fit_for", "fold")), ["fold", "zbin"], "left")
            .join(F.broadcast(hm.withColumnRenamed("fit_for", "fold")), ["fold", "h"], "left"))
     return out.withColumn("post", F.expr("greatest(r1 * coalesce(zm, 1.0) * coalesce(hm, 1.0), 0.0)"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from launchgrid.functions.ordered import medians, quantiles
+from launchgrid.functions.ordered import medians, quantiles, running
 
 
 def decay_prior(rows: DataFrame) -> DataFrame:
@@ -35,17 +35,44 @@ CURVE_LEVELS = [["h", "dow", "trend", "size", "up"], ["h", "dow", "trend", "up"]
                 ["h", "dow", "size"], ["h", "dow"], ["h", "trend"], ["h"]]
 
 
-def weighted_quantile(df: DataFrame, keys: list[str], value: str, count: str, q: float) -> DataFrame:
-    """Quantile of values given with repeat counts: ``keys, value, n``."""
-    from launchgrid.functions.ordered import running
+def level_keys(levels: list[list[str]]) -> Column:
+    """``level, key`` of a row at every level; the last level holds all rows."""
+    key = lambda lv: F.concat_ws("|", *[F.col(c).cast("string") for c in lv]) if lv else F.lit("")
+    return F.inline(F.array(*[F.struct(F.lit(i).alias("level"), key(lv).alias("key")) for i, lv in enumerate([*levels, []])]))
 
-    run = running(df, keys, F.col(value), {"_c": F.col(count)})
-    pos = F.lit(q) * (F.col("_c_tot") - 1)
-    lo = F.floor(pos)
-    start, end = F.col("_c_cum") - F.col("_c"), F.col("_c_cum")
-    at = lambda k: F.max(F.when((start <= k) & (k < end), F.col("_v")))
-    lower, upper = at(lo), at(F.ceil(pos))
-    return run.groupBy(*keys).agg((lower + (upper - lower) * F.max(pos - lo)).alias("value"), F.max("_c_tot").alias("n"))
+
+def other_medians(train: DataFrame, levels: list[list[str]], k: int) -> DataFrame:
+    """Median of y per (fold, level, key) over the rows outside the fold: ``fold, level, key, value, n``.
+
+    Folds are columns of counts: one ordering per level serves them all, as the running count of
+    "all other folds" is the whole running count less the fold's own.
+    """
+    finest = list(dict.fromkeys(c for lv in levels for c in lv))
+    counts = train.groupBy(*finest, "y").agg(*[F.count(F.when(F.col("fold") == f, 1)).alias(f"_c{f}") for f in range(k)])
+    names = [f"_c{f}" for f in range(k)]
+    run = running(counts.select("y", *names, level_keys(levels)), ["level", "key"], F.col("y"), {c: F.col(c) for c in names})
+    parts = []
+    for f in range(k):
+        rest = lambda end: sum((F.col(c + end) for i, c in enumerate(names) if i != f), F.lit(0))
+        n, upto = rest("_tot"), rest("_cum")
+        pos = F.lit(0.5) * (n - 1)
+        at = lambda j: F.max(F.when((upto - rest("") <= j) & (j < upto), F.col("_v")))
+        lower, upper = at(F.floor(pos)), at(F.ceil(pos))
+        parts.append(F.struct(F.lit(f).alias("fold"), (lower + (upper - lower) * F.lit(0.5)).alias("value"), F.max(n).alias("n")))
+    return run.groupBy("level", "key").agg(F.array(*parts).alias("_f")).select("level", "key", F.inline("_f"))
+
+
+def other_zero_shares(train: DataFrame, levels: list[list[str]], k: int) -> DataFrame:
+    """Share of y = 0 per (fold, level, key) over the rows outside the fold: ``fold, level, key, value, n``.
+
+    Rows are counted once by fold and finest key, which are bins; levels and folds are rolled up from those counts.
+    """
+    finest = list(dict.fromkeys(c for lv in levels for c in lv))
+    counts = train.groupBy("fold", *finest).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("y") == 0).alias("_z"))
+    at = lambda c, f: F.sum(F.when(F.col("fold") != f, F.col(c)).otherwise(0))
+    parts = [F.struct(F.lit(f).alias("fold"), F.try_divide(at("_z", f), at("_n", f)).alias("value"), at("_n", f).alias("n")) for f in range(k)]
+    rolled = counts.select("fold", "_n", "_z", level_keys(levels)).groupBy("level", "key").agg(F.array(*parts).alias("_f"))
+    return rolled.select("level", "key", F.inline("_f"))
 
 
 def backoff_lookup(rows: DataFrame, table: DataFrame, levels: list[list[str]], by: list[str], name: str) -> DataFrame:
@@ -66,22 +93,12 @@ def backoff_fit_apply(rows: DataFrame, levels: list[list[str]], stat: str, least
                       positive_only: bool = False) -> DataFrame:
     """Out-of-fold back-off prediction: fold f is predicted from the other folds.
 
-    Each training row counts towards the k - 1 folds it does not belong to; only the reduced counts
-    are repeated, not the rows.
+    ``stat`` is "median" or "zero". No row is repeated for a fold. A group with fewer than ``least``
+    training rows gives way to the next level.
     """
     train = rows.where("y > 0") if positive_only else rows
-    finest = list(dict.fromkeys(c for lv in levels for c in lv))
-    counts = train.groupBy("fold", *finest, "y").agg(F.count(F.lit(1)).alias("_w"))
-    others = counts.withColumn("fit_for", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold"))))
-    parts = [F.struct(F.lit(i).alias("level"), F.concat_ws("|", *[F.col(c).cast("string") for c in lv]).alias("key"))
-             for i, lv in enumerate(levels)] + [F.struct(F.lit(len(levels)).alias("level"), F.lit("").alias("key"))]
-    long = others.select(F.col("fit_for").alias("fold"), "y", "_w", F.inline(F.array(*parts)))
-    keys = ["fold", "level", "key"]
-    if stat == "median":
-        table = weighted_quantile(long, keys, "y", "_w", 0.5)
-    else:
-        table = long.groupBy(*keys).agg((F.sum(F.when(F.col("y") == 0, F.col("_w")).otherwise(0)) / F.sum("_w")).alias("value"), F.sum("_w").alias("n"))
-    table = table.where((F.col("n") >= least) | (F.col("level") == len(levels)))
+    fit = {"median": other_medians, "zero": other_zero_shares}[stat]
+    table = fit(train, levels, k).where((F.col("n") >= least) | (F.col("level") == len(levels)))
     return backoff_lookup(rows, table, levels, ["fold"], name)
 
 
