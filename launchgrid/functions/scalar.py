@@ -72,6 +72,9 @@ FORMAT_WORDS = (
     r"ultra\s*xd|laser|dub(?:bing|bed)?|sub(?:title|titled|s)?|indo(?:nesia|nesian)?|"
     r"english|mandarin|re\s*release|rerelease|encore|sing\s*along|special\s*screening"
 )
+# Patterns of dearer formats and of releases shown again.
+PREMIUM_FORMATS = "4dx|4d|dolby|screenx|onyx|velvet|satin|deluxe|gold"
+RERELEASES = r"re\s*-?\s*release|rerelease|encore"
 # Bracketed tags taken off a title before the exact look-up.
 TITLE_TAGS = ("(IMAX 2D)", "(IMAX)", "(3D)", "(2D)", "(DUB)", "(DUBBING)", "(RE-RELEASE)", "(PREMIUM)")
 # A trailing bracket is kept when it names a part of a series.

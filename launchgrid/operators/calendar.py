@@ -40,11 +40,12 @@ def calendar_table(days: DataFrame, holidays: DataFrame, intervals: DataFrame |
                    overrides: DataFrame | None = None) -> DataFrame:
     """``ds, dow, dtype, hol, sch, fast`` per day.
 
-    ``holidays``: ``ds, day_type, holiday_type`` (first row wins for a repeated day). ``intervals``:
+    ``holidays``: ``ds, day_type, holiday_type`` and, if the order matters, ``row``: of a repeated day
+    the row with the smallest ``row`` counts, whole; without the column, the smallest row. ``intervals``:
     kinds ``holiday``, ``school``, ``fast``. ``overrides``: listed holidays to treat as normal days.
     """
-    listed = holidays.groupBy("ds").agg(F.min_by("day_type", "day_type").alias("day_type"),
-                                        F.min("holiday_type").alias("holiday_type"))
+    order = F.col("row") if "row" in holidays.columns else F.struct("day_type", "holiday_type")
+    listed = holidays.groupBy("ds").agg(F.min_by(F.struct("day_type", "holiday_type"), order).alias("_d")).select("ds", "_d.*")
     if overrides is not None:
         listed = listed.join(F.broadcast(overrides.select("ds", F.lit(1).alias("_normal"))), "ds", "left").withColumn(
             "holiday_type", F.when(F.col("_normal").isNotNull(), F.lit("normal")).otherwise(F.col("holiday_type"))

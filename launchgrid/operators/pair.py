@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from launchgrid.functions.joins import spread_join
 from launchgrid.functions.ordered import HOT_VALUES, ranked, running
-from launchgrid.functions.scalar import title_family, title_key, title_untagged, first_listed, listed_count, flag
+from launchgrid.functions.scalar import PREMIUM_FORMATS, RERELEASES, title_family, title_key, title_untagged, first_listed, listed_count, flag
 
 
 def add_pattern(wide: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def item_meta(titles: DataFrame, items: DataFrame) -> DataFrame:
     return got.select(
         "title", F.col("_ak").alias("key"), flag(m.isNotNull()).alias("meta_matched"), *[text(c) for c in _META[:3]], *[num(c) for c in _META[3:]],
         flag(low.contains("imax")).alias("fmt_imax"), flag(low.rlike(r"\b3d\b")).alias("fmt_3d"), flag(low.contains("dub")).alias("fmt_dub"),
-        flag(low.rlike("4dx|4d|dolby|screenx|onyx|velvet|satin|deluxe|gold")).alias("fmt_premium"),
-        flag(low.rlike(r"re\s*-?\s*release|rerelease|encore")).alias("fmt_rerelease"), flag(low.contains("(")).alias("has_paren"),
+        flag(low.rlike(PREMIUM_FORMATS)).alias("fmt_premium"),
+        flag(low.rlike(RERELEASES)).alias("fmt_rerelease"), flag(low.contains("(")).alias("has_paren"),
         title_family(F.upper("title")).alias("family"),
         F.length("title").alias("title_len"), F.size(F.filter(F.split("_ak", " "), lambda x: x != "")).alias("n_words"))

@@ -57,10 +57,11 @@ def load_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_holidays(spark: SparkSession, path: str) -> DataFrame:
+    """``ds, day_type, holiday_type, holiday_name`` and ``row``, which grows with the place in the file."""
     raw = read_csv(spark, path, schemas.HOLIDAYS)
     return raw.select(F.col("date").alias("ds"), text_class("day_tipe").alias("day_type"),
                       text_class("holiday_tipe").alias("holiday_type"),
-                      text_class("holiday_name").alias("holiday_name"))
+                      text_class("holiday_name").alias("holiday_name"), F.monotonically_increasing_id().alias("row"))
 
 
 def load_prices(spark: SparkSession, path: str) -> DataFrame:

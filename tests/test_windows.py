@@ -169,6 +169,17 @@ def test_off_runs_and_repeated_holiday(spark):
     assert [c["run"] for c in cal] == [0, 0, 0, 0, 0, 3, 3, 3, 0, 0, 0, 0, 2, 2]
 
 
+def test_repeated_holiday_keeps_the_first_row_whole(spark, tmp_path):
+    path = tmp_path / "holidays.csv"
+    names = [f.name for f in schemas.HOLIDAYS.fields]
+    first = {"date": "2024-01-08", "day_tipe": "weekend", "holiday_tipe": "normal", "holiday_name": "b"}
+    again = {"date": "2024-01-08", "day_tipe": "friday", "holiday_tipe": "holiday", "holiday_name": "a"}
+    path.write_text("\n".join(",".join(x) for x in [names, *[[r.get(n, "") for n in names] for r in (first, again)]]) + "\n")
+    days = spark.createDataFrame([(dt.date(2024, 1, 8),)], "ds date")
+    got = calendar.calendar_table(days, tables.load_holidays(spark, str(path))).first()
+    assert (got["dtype"], got["hol"]) == (2, 0)
+
+
 def test_competition_matches_a_plain_sum(spark, facts):
     rel = release.release_dates(facts, "wide").where("not left_censored")
     strength = competition.launch_strength(facts, rel)
