@@ -1,4 +1,7 @@
-"""Substring dedup: sentences inside a repeated run of consecutive sentences go, but for the first."""
+"""Substring dedup: sentences inside a repeated run of consecutive sentences go, but for the first.
+
+Long sentences count as several: they are cut where their own words say so.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +13,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from launchgrid.llm.common import durable, ship, slices
+from launchgrid.llm.common import durable, mix, ship, slices
 
 SENTENCES, WORDS = 2, 20  # a run has at least so many of each, and no sentence more than it needs
+WINDOW = 6                # of so many neighbouring word gaps in a sentence of WORDS words or more, one is cut
 _END = re.compile(r"(?:(?<=[.!?])[^\S\n]+|\s*\n\s*)(?=\S)")
+_BLANK = np.array([chr(i).isspace() for i in range(0x3002)])  # no later character is white space
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -22,27 +27,52 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip([0, *cuts], [*cuts, len(text)]) if b > a]
 
 
+def pieces(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """End of each piece, number of words up to it, and the hashes of all words.
+
+    A piece is a sentence or, in a sentence of WORDS words or more, a part of one: of each WINDOW
+    neighbouring gaps between its words the one with the smallest hash of the two words beside it
+    is cut. So equal passages are cut alike but for 2 * WINDOW words at their ends, wherever they
+    stand, and 5 * WINDOW + WORDS equal words within long sentences always hold an equal run.
+    """
+    ends = np.array([b for _, b in sentences(text)], np.int64)
+    blank = _BLANK[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), len(_BLANK) - 1)]
+    starts = np.flatnonzero(~blank & np.append(True, blank[:-1])[: len(blank)])
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, text.split()), np.uint64, len(starts))
+    upto = np.searchsorted(starts, ends)
+    size = np.diff(upto, prepend=0)
+    if (size >= WORDS).any():
+        shut = np.repeat(size < WORDS, size)  # words without a gap to cut before them
+        shut[(upto - size)[size > 0]] = True
+        shut = np.concatenate([[0], np.cumsum(shut)])
+        inside = np.flatnonzero(shut[WINDOW:] == shut[:-WINDOW])
+        gap = mix(mix(np.append(h[:1], h[:-1]), 1) ^ h)
+        cut = inside + np.lib.stride_tricks.sliding_window_view(gap, WINDOW)[inside].argmin(1)
+        ends = np.union1d(ends, starts[cut])
+        upto = np.searchsorted(starts, ends)
+    return ends, upto, h
+
+
 def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, last) of the shortest runs from each sentence on and up to each sentence.
+    """(hash, first, last) of the shortest runs from each piece on and up to each piece.
 
-    With both, two texts that share a passage share runs up to its very first and last sentence.
+    With both, two texts that share a passage share runs up to its very first and last piece.
     """
-    parts = [text[a:b].split() for a, b in sentences(text)]
-    n = len(parts)
+    ends, upto, h = pieces(text)
+    n = len(ends)
     none = np.zeros(0, np.int64)
     if n < SENTENCES:
         return none.astype(np.uint64), none, none
-    h = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(p)) for p in parts), np.uint64, n)
-    words = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    words = np.concatenate([[0], upto])
     at = np.arange(n)
     last = np.maximum(np.searchsorted(words, words[:-1] + WORDS, "left") - 1, at + SENTENCES - 1)
     first = np.minimum(np.searchsorted(words, words[1:] - WORDS, "right") - 1, at - SENTENCES + 1)
     a, b = np.concatenate([at[last < n], first[first >= 0]]), np.concatenate([last[last < n], at[first >= 0]])
-    a, b = np.unique(np.stack([a, b], 1), axis=0).T if len(a) else (none, none)
-    # A run's hash is the difference of two running polynomials, scaled to the run's own start.
-    power, back = _powers(n + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:n], dtype=np.uint64)])
-    return (total[b + 1] - total[a]) * back[a] + (b - a).astype(np.uint64), a, b
+    a, b = np.divmod(np.unique(a * n + b), n)
+    # A run's hash is the difference of two running polynomials of its words, scaled to its own start.
+    power, back = _powers(len(h) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1], dtype=np.uint64)])
+    return (total[words[b + 1]] - total[words[a]]) * back[words[a]] + (b - a).astype(np.uint64), a, b
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +86,7 @@ def remove_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """doc_id, n_sentences, n_removed, n_spans (runs of removed sentences) and the text that stays.
 
     The first of equal runs is that of the smallest key, then of the smallest position; the sentences
-    of all others go. Sentences compare with white space joined. Null texts are empty; rows with a null
+    of all others go. The pieces of a long sentence count as sentences. Sentences compare with white space joined. Null texts are empty; rows with a null
     key neither remove nor lose anything; rows that repeat a key with equal text are one document,
     with other texts they lose nothing to each other.
     """
@@ -90,15 +120,15 @@ def remove_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             for part in slices(batch):
                 total, gone, groups, out = [], [], [], []
                 for t, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    s = sentences(t)
-                    cover = np.zeros(len(s) + 1, np.int64)
+                    ends = pieces(t)[0].tolist()
+                    cover = np.zeros(len(ends) + 1, np.int64)
                     for x in spans or ():
                         cover[x["a"]] += 1
                         cover[x["b"] + 1] -= 1
                     hit = np.cumsum(cover)[:-1] > 0
-                    total.append(len(s)), gone.append(int(hit.sum()))
+                    total.append(len(ends)), gone.append(int(hit.sum()))
                     groups.append(int((hit & ~np.concatenate([[False], hit[:-1]])).sum()))
-                    out.append("".join(t[a:b] for (a, b), x in zip(s, hit.tolist()) if not x) if spans else t)
+                    out.append("".join(t[a:b] for (a, b), x in zip(zip([0, *ends], ends), hit.tolist()) if not x) if spans else t)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (total, gone, groups)), pa.array(out, pa.string())],
                                                  ["doc_id", "n_sentences", "n_removed", "n_spans", "text"])
 

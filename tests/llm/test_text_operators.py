@@ -247,6 +247,29 @@ def test_sentence_spans(spark, docs, none):
     assert sentence_spans.remove_spans(docs).count() == docs.count() and sentence_spans.remove_spans(none).count() == 0
 
 
+def test_sentence_spans_without_sentence_ends(spark):
+    word = lambda kind, n: " ".join(f"{kind}{i}" for i in range(n))
+    passage = word("p", 60)
+    rows = [(1, f"{word('a', 40)} {passage} {word('b', 40)}"), (2, f"{word('c', 33)}\u3000{passage}  {word('d', 25)}"), (3, word("e", 160)), (4, word("e", 160)),
+            (5, f"Before it. {word('e', 160)}. After it."), (6, word("f", 19)), (7, word("f", 19)), (8, "One\n" + word("g", 30))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r for r in sentence_spans.remove_spans(table).collect()}
+    assert all(got[i].text == t and got[i].n_removed == 0 for i, t in rows if i in (1, 3, 6, 7, 8))
+    left = got[2].text.split()
+    assert sum(w[0] == "p" for w in left) <= 60 - sentence_spans.WORDS and [w for w in left if w[0] != "p"] == [w for w in rows[1][1].split() if w[0] != "p"]
+    assert (got[4].text, got[4].n_spans, got[4].n_removed) == ("", 1, got[4].n_sentences)
+    assert got[5].text.startswith("Before it. ") and got[5].text.endswith("After it.") and len(got[5].text.split()) <= 4 + 2 * sentence_spans.WINDOW
+
+
+def test_pieces_hold_a_run_of_every_fifty_words():
+    for _ in range(200):
+        core = [f"w{rnd.randrange(400)}" for _ in range(5 * sentence_spans.WINDOW + sentence_spans.WORDS)]
+        sides = [[" ".join(f"{k}{rnd.randrange(400)}" for _ in range(rnd.randrange(30))) for _ in range(2)] for k in "ab"]
+        one, two = (set(sentence_spans.runs(f"{x} {' '.join(core)} {y}")[0].tolist()) for x, y in sides)
+        assert one & two
+    assert len(sentence_spans.pieces("z " * 100)[0]) <= 100 and sentence_spans.pieces("")[0].tolist() == []
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
