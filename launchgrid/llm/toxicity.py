@@ -17,7 +17,7 @@ SAMPLE_CHARS = 20_000   # longest learning example; scores are of whole texts
 THRESHOLD = 0.3
 STRIP = ".,;:!?\"'()[]{}<>*#&$%|-_"  # fixed values: marks that do not belong to a word
 CACHE_WORDS = 900_000
-SKETCH = 3              # minima in the sketch that tells near copies
+SKETCH, AGREE = 32, 24  # minima in the sketch that tells near copies, and how many of them these share
 CLEAR = 5.0             # standard errors between the shares of a word that gets a weight
 
 
@@ -50,26 +50,29 @@ class Model:
 
 @dataclass
 class Example:
-    words: np.ndarray         # buckets of the distinct words
-    sketch: tuple[int, ...]   # minima of hashed word pairs, nearly always shared by near copies
+    words: np.ndarray   # buckets of the distinct words
+    sketch: np.ndarray  # minima of hashed word pairs; as large a part of them is shared as of the pairs
 
 
 def example(text: str) -> Example:
     words = text.split()
-    pairs = np.fromiter((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:] or words)), np.uint64)
-    marks = tuple(int(mix(pairs, seed).min()) for seed in range(SKETCH)) if len(pairs) else (0,) * SKETCH
+    pairs = np.unique(np.fromiter((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:] or words)), np.uint64))
+    marks = np.array([mix(pairs, seed).min() for seed in range(SKETCH)] if len(pairs) else [0] * SKETCH, np.uint64)
     return Example(np.unique(np.fromiter((bucket(w) for w in set(words)), np.int64)), marks)
 
 
 def distinct(examples: list[Example]) -> list[Example]:
-    """The first of each group of near copies, so that their words do not count many times."""
-    seen: set[tuple[int, int]] = set()
-    out = []
+    """The first of each group of near copies, so that their words do not count many times.
+
+    An example goes only if it shares AGREE minima with one and the same example that stays.
+    """
+    kept = np.zeros((SKETCH, len(examples)), np.uint64)
+    out: list[Example] = []
     for e in examples:
-        marks = set(enumerate(e.sketch))
-        if not marks & seen:
+        n = len(out)
+        if not n or (kept[:, :n] == e.sketch[:, None]).sum(0, dtype=np.uint8).max() < AGREE:
+            kept[:, n] = e.sketch
             out.append(e)
-        seen |= marks
     return out
 
 

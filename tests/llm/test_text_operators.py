@@ -163,6 +163,15 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, toxicity.train(none, table.select("doc_id", "toxic").where("false"))).count() == 0
 
 
+def test_distinct_drops_near_copies_only():
+    g = random.Random(5)
+    common = "as well as of the in the"  # word pairs that all texts share
+    texts = [" ".join(f"w{g.randrange(5000)}" for _ in range(60)) + f" {common} " + " ".join(f"w{g.randrange(5000)}" for _ in range(60)) for _ in range(300)]
+    assert len(toxicity.distinct([toxicity.example(t) for t in texts])) == 300
+    copies = [texts[0], texts[1].replace(common, "as well as"), "  ".join(texts[2].split()), texts[3] + " end"]
+    assert len(toxicity.distinct([toxicity.example(t) for t in [*texts, *copies, "", " ", "one", "one", "two"]])) == 303
+
+
 def near_brute(rows, percent):
     sets = {}
     for i, t in rows:
