@@ -9,11 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from launchgrid.llm.common import mix, pick, ship, slices
+from launchgrid.llm.common import discard, durable, mix, pick, ship, slices
 
 SAMPLE_POSITIVE = 4000  # bound of the confirmed examples that are learned from
 SAMPLE_REST = 12000     # bound of the unlabelled texts that are learned from
-SAMPLE_CHARS = 20_000   # longest learning example; scores are of whole texts
 THRESHOLD = 0.3
 STRIP = ".,;:!?\"'()[]{}<>*#&$%|-_"  # fixed values: marks that do not belong to a word
 CACHE_WORDS = 900_000
@@ -128,19 +127,33 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     A label counts where it is 0 or 1; a document with several labels is positive if one of them
     is. The prior is the share of positives among all labelled rows. Positives and unlabelled texts
     (labelled documents with their label hidden) are those with the smallest hash of the key, at most
-    SAMPLE_POSITIVE and SAMPLE_REST, so the driver's memory stays bounded.
+    SAMPLE_POSITIVE and SAMPLE_REST, so the driver's memory stays bounded. Their texts are read whole.
     """
     y = labels.where(F.col(label).isin(0, 1)).where(~held_out(key)).groupBy(F.col(key).alias("doc_id")).agg(F.max(label).alias("y"))
     y = y.where("doc_id is not null")
     total, ones = y.agg(F.count("*"), F.sum("y")).first()
     picked = y.where("y = 1").orderBy(F.xxhash64("doc_id")).limit(SAMPLE_POSITIVE).unionByName(
         y.withColumn("y", F.lit(-1)).orderBy(F.xxhash64("doc_id", F.lit(1))).limit(SAMPLE_REST))
-    short = F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE_CHARS)
-    texts = F.broadcast(picked).join(docs.select(F.col(key).alias("doc_id"), short.alias("text")), "doc_id")
-    found: dict[int, list[Example]] = {1: [], -1: []}
-    for r in texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("y", F.xxhash64("doc_id")).toLocalIterator():
-        found[r["y"]].append(example(r["text"]))
-    return fit(found[1], found[-1], (ones or 0) / max(total, 1))
+    whole = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    texts = F.broadcast(picked).join(whole, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    ship(docs.sparkSession)
+
+    def learn(batches):
+        for batch in batches:
+            for part in slices(batch):
+                got = [example(t) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([e.words.astype(np.uint32).tobytes() for e in got], pa.binary()), pa.array([e.sketch.tobytes() for e in got], pa.binary())],
+                    ["rank", "y", "words", "sketch"])
+
+    # The texts stay in the tasks; only their words and sketches reach the driver.
+    made = durable(texts.select(F.xxhash64("doc_id").alias("rank"), "y", "text").mapInArrow(learn, "rank bigint, y int, words binary, sketch binary"), "examples")
+    found: dict[int, list[tuple]] = {1: [], -1: []}
+    for r in made.toLocalIterator():
+        found[r["y"]].append((r["rank"], bytes(r["words"]), bytes(r["sketch"])))
+    discard(made)
+    learned = {y: [Example(np.frombuffer(w, np.uint32).astype(np.int64), np.frombuffer(m, np.uint64)) for _, w, m in sorted(rows)] for y, rows in found.items()}
+    return fit(learned[1], learned[-1], (ones or 0) / max(total, 1))
 
 
 def held_out(key: str = "doc_id"):

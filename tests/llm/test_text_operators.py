@@ -163,6 +163,14 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, toxicity.train(none, table.select("doc_id", "toxic").where("false"))).count() == 0
 
 
+def test_toxicity_learns_from_the_ends_of_long_texts(spark):
+    clean = [" ".join(f"c{rnd.randrange(3000)}" for _ in range(4500)) for _ in range(120)]  # over 20,000 characters
+    assert min(map(len, clean)) > 20_000
+    table = spark.createDataFrame([(i, t + (" vile" if i % 4 == 0 else ""), int(i % 4 == 0)) for i, t in enumerate(clean)], "doc_id bigint, text string, toxic int").repartition(3)
+    model = toxicity.train(table.drop("toxic"), table.select("doc_id", "toxic"))
+    assert model.weights.get(toxicity.bucket("vile"), 0) > 0
+
+
 def test_distinct_drops_near_copies_only():
     g = random.Random(5)
     common = "as well as of the in the"  # word pairs that all texts share
