@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from launchgrid.llm.common import components, durable, local_roots, ship
@@ -43,7 +44,7 @@ def directions(dimension: int, seed: int = 11) -> np.ndarray:
 def links(groups: DataFrame, cosine: float) -> DataFrame:
     """(vec_id, n, root): weighted links per vector and block, and a root of its links in the block.
 
-    ``groups`` has vec_id, label, w and unit vector u. In each table three projections make cells
+    ``groups`` has vec_id, label, w and unit vector u; vectors of a label have one dimension. In each table three projections make cells
     and a fourth is sorted; a vector is stored in its own cell and asks, with its windows around
     itself, in every cell they touch. So each pair that collides in all four meets in that table, and it counts
     in the first such table only. A crowded cell is cut into blocks of stored by asking vectors.
@@ -53,9 +54,7 @@ def links(groups: DataFrame, cosine: float) -> DataFrame:
     kind = groups.schema["vec_id"].dataType.simpleString()
 
     def cells(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (x for batch in batches for x in alike(batch)):
             p = projections(matrix(b.column(b.schema.get_field_index("u"))))
             for t in range(TABLES):
                 lead = p[:, t * LEAD: t * LEAD + LEAD - 1]
@@ -114,6 +113,12 @@ def links(groups: DataFrame, cosine: float) -> DataFrame:
     return spread.groupBy("label", "t", "cell", "s", "q").applyInArrow(block, f"vec_id {kind}, n bigint, root {kind}")
 
 
+def alike(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """The rows of each dimension."""
+    n = pc.list_value_length(batch.column(batch.schema.get_field_index("u")))
+    return [batch.filter(pc.equal(n, x)) for x in pc.unique(n)]
+
+
 def projections(u: np.ndarray) -> np.ndarray:
     """Each row on its own, so that equal rows give equal bits wherever they are computed."""
     return np.einsum("ij,jk->ik", u, directions(u.shape[1]))
@@ -141,7 +146,7 @@ def near_pairs(p: np.ndarray, other: np.ndarray, t: int, width: float, least: in
 def near_duplicates(table: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept (vec_id = component_id).
 
-    Vectors link where their labels are equal and not null and their cosine is at least ``cosine``.
+    Vectors link where their labels are equal and not null, their dimensions equal and their cosine is at least ``cosine``.
     Equal vectors of a label are joined to one before the search. Unusable vectors (see ``usable``)
     and those without label link with nothing: their component is their own id; a null key has
     a null component and is kept. Rows that repeat an id link to each other's vectors like others.
@@ -149,7 +154,8 @@ def near_duplicates(table: DataFrame, cosine: float = 0.98, key: str = "vec_id",
     spark = table.sparkSession
     ship(spark)
     rows = table.select(F.col(key).alias("vec_id"))
-    good = usable(table, key, vector, F.col(label).alias("label")).where("label is not null")
+    good = usable(table, key, vector, F.col(label).alias("label"), one_size=False).where("label is not null").withColumn(
+        "label", F.struct(F.col("label").alias("of"), F.size("vec").alias("dimension")))
     tagged = good.select("vec_id", "label", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64("vec", F.lit(1)).alias("h2"))
     groups = durable(tagged.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.any_value("vec").alias("vec")), "groups")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))

@@ -7,13 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
-def usable(table: DataFrame, key: str, vector: str, *extra: str) -> DataFrame:
-    """vec_id, vec (doubles) and the extra columns, for vectors of the commonest dimension.
+def usable(table: DataFrame, key: str, vector: str, *extra: str, one_size: bool = True) -> DataFrame:
+    """vec_id, vec (doubles) and the extra columns, for vectors of the commonest dimension or of all.
 
     Null keys, null, empty and zero vectors and those with null or non-finite parts are left out.
     """
     df = table.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"), *extra).where(
         "vec_id is not null and vec is not null and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)")
+    if not one_size:
+        return df
     sizes = df.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     return df.where(F.size("vec") == (sizes[0]["n"] if sizes else 0))
 

@@ -152,6 +152,12 @@ def test_near_vectors(spark):
     assert near_vectors.near_duplicates(table.where("false")).count() == 0
 
 
+def test_near_vectors_of_several_dimensions(spark):
+    rows = [(i, [1.0, 0.5, i / 1000] if i < 6 else [1.0, 0.5, 0.2, i / 1000], 1) for i in range(15)]
+    got = {r.vec_id: r for r in near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(2), 0.98).collect()}
+    assert all((got[i].n_links, got[i].component_id) == ((5, 0) if i < 6 else (8, 6)) for i in range(15))
+
+
 def test_toxicity(spark, docs, none):
     rows = [(i, prose(40) + (" vile" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
