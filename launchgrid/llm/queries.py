@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from launchgrid.llm import bpe, huffman, minhash, near_vectors, packing, sentence_spans, suffixes, tokens, toxicity, tree_search
+from launchgrid.llm import (
+    bpe, collocations, html_text, huffman, minhash, near_vectors, packing, sentence_spans, suffixes, tokens, toxicity, tree_search, vector_codes,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +26,52 @@ SQL["op7_near_vectors"] = """WITH RECURSIVE v AS (
     e.vec_id = least(e.vec_id, coalesce(c.low, e.vec_id)) AS kept
   FROM embeddings e LEFT JOIN c ON e.vec_id = c.node LEFT JOIN d ON e.vec_id = d.a"""
 
+SQL["op11_collocations"] = """WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
+  p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+  w AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[ \\t]+') IF x <> ''] AS ws FROM p),
+  s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+  g AS (SELECT lang, k.k AS words, array_to_string(list_slice(ws, i, i + k.k - 1), ' ') AS phrase
+    FROM s, (VALUES (1), (2), (3)) k(k) WHERE i + k.k - 1 <= len(ws)),
+  c AS (SELECT lang, words, phrase, count(*) AS f FROM g GROUP BY ALL),
+  n AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE words = 1 GROUP BY lang),
+  cand AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS ws FROM c WHERE words > 1 AND f >= 10),
+  longer AS (SELECT lang, phrase, max(a) AS a FROM (
+      SELECT lang, ws[1] || ' ' || ws[2] AS phrase, a FROM cand WHERE words = 3
+      UNION ALL SELECT lang, ws[2] || ' ' || ws[3], a FROM cand WHERE words = 3) GROUP BY ALL),
+  live AS (SELECT cand.* FROM cand LEFT JOIN longer USING (lang, phrase) WHERE longer.a IS NULL OR 100 * longer.a < 50 * cand.a),
+  cuts AS (SELECT lang, phrase, a, 1 AS k, ws[1] AS first, array_to_string(ws[2:], ' ') AS rest FROM live
+    UNION ALL SELECT lang, phrase, a, 2, ws[1] || ' ' || ws[2], ws[3] FROM live WHERE words = 3),
+  scored AS (SELECT t.lang, t.phrase, t.a, t.k, x.f AS l, y.f AS r, (1000000::HUGEINT * t.a * t.a) // (x.f::HUGEINT * y.f) AS score
+    FROM cuts t JOIN c x ON x.lang = t.lang AND x.phrase = t.first JOIN c y ON y.lang = t.lang AND y.phrase = t.rest),
+  best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+  SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd rounds written out: each assigns every part to its nearest entry, then takes means."""
+    steps = [f"""v AS (SELECT vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+  x AS (SELECT vec_id, label, p.p AS p, list_slice(v, p.p * len(v) // {parts} + 1, (p.p + 1) * len(v) // {parts}) AS v
+    FROM v, (SELECT unnest(range({parts})) AS p) p),
+  b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM x QUALIFY e < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT x.vec_id, x.label, x.p, x.v, min([list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(x.v, b.v)])::BIGINT, b.e]) AS m
+    FROM x JOIN b{r} b ON b.p = x.p GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT p, m[2] AS e, i, sum(c)::HUGEINT AS t, count(*) AS n
+    FROM (SELECT p, m, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY ALL),
+  b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(s.v, b.v) AS v FROM b{r} b LEFT JOIN (
+    SELECT p, e, list(((t - ((t % n + n) % n)) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY ALL) s ON s.p = b.p AND s.e = b.e)""")
+    return "WITH " + ",\n  ".join(steps) + f""",
+  rows AS (SELECT vec_id, label, string_agg(printf('%02x', m[2]), '' ORDER BY p) AS code, sum(m[1])::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label),
+  digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+  SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM rows, digest"""
+
+
+SQL["op13_vector_codes"] = _codes_sql()
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -85,3 +133,18 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
