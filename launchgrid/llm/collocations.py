@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from launchgrid.llm.common import discard, durable, mix, ship, slices, tasks
 
 MOST, LEAST, KEEP, TOP = 3, 10, 50, 2000
-FLUSH = 3_000_000         # words of a task's texts that are counted before they travel
+FLUSH = 2_000_000         # words of a task's texts that are counted before they travel
 CHUNK = 2 << 20           # bytes of text split into words at a time
-BOX_BYTES = 24 << 20      # text whose suffixes go to one box
-HEAVY = 4_000_000         # suffixes in a box beyond which it is dealt out again by whole phrases
+BOX_BYTES = 8 << 20       # text whose suffixes go to one box
+HEAVY = 2_000_000         # suffixes in a box beyond which it is dealt out again by whole phrases
 _SAME = bytes.maketrans(b"\t.,;:!?\x0a\x0b\x0c\x0d", b" " + b"\n" * 10)  # fixed values: what parts words and pieces
 
 
@@ -74,7 +74,7 @@ def word_chunks(data: bytes, most: int):
 
 def suffix_counts(ids: np.ndarray, starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct suffixes of at most ``most`` words that begin at ``starts``, as rows of ids, and their counts."""
-    rows = np.zeros((len(starts), most), np.int64)
+    rows = np.zeros((len(starts), most), np.int32)
     padded = np.concatenate([ids, np.zeros(most, ids.dtype)])
     alive = np.ones(len(starts), bool)
     key, top = np.zeros(len(starts), np.int64), int(ids.max(initial=0)) + 1
@@ -98,40 +98,28 @@ def three_way(keys: np.ndarray, weight: np.ndarray, least: int):
     equal part goes on with the next word; its weight is the count of that prefix. Partitions lighter
     than ``least``, and those of prefixes that end (word 0), are abandoned.
     """
-    width = keys.shape[1]
-    order = np.arange(len(keys))
-    start, size, depth = np.array([0]), np.array([len(keys)]), np.array([0])
-    rng = np.random.default_rng(7)
-    while len(start):
-        at = np.repeat(np.arange(len(start)), size)
+    n, width = keys.shape
+    flat = np.ascontiguousarray(keys.T).reshape(-1)
+    order, size, depth = np.arange(n, dtype=np.int32), np.array([n]), np.array([0])
+    while size.sum():
         first = np.cumsum(size) - size
-        inner = np.arange(len(at)) - first[at]
-        rows = order[start[at] + inner]
-        word = keys[rows, depth[at]]
-        picks = [word[first + rng.integers(0, size)] for _ in range(3)]
-        pivot = picks[0] + picks[1] + picks[2] - np.maximum(np.maximum(*picks[:2]), picks[2]) - np.minimum(np.minimum(*picks[:2]), picks[2])
-        pivot = pivot[at]
-        side = (word > pivot).astype(np.int8) - (word < pivot).astype(np.int8) + 1
-        counts, weights = [], []
-        place = np.empty(len(at), np.int64)
-        base = start.copy()
-        w = weight[rows]
-        for s in range(3):
-            mine = side == s
-            running = np.cumsum(mine)
-            before = np.concatenate([[0], running])[first]
-            place[mine] = base[at[mine]] + running[mine] - 1 - before[at[mine]]
-            n = np.bincount(at[mine], minlength=len(start))
-            counts.append(n), weights.append(np.bincount(at[mine], w[mine], minlength=len(start)).astype(np.int64))
-            base = base + n
-        order[place] = rows
-        begin = [start, start + counts[0], start + counts[0] + counts[1]]
-        equal = np.flatnonzero(weights[1] >= least)
-        equal = equal[keys[order[begin[1][equal]], depth[equal]] > 0]
-        yield depth[equal] + 1, order[begin[1][equal]], weights[1][equal]
-        equal = equal[depth[equal] + 1 < width]
-        go = [np.flatnonzero((counts[0] > 0) & (weights[0] >= least)), equal, np.flatnonzero((counts[2] > 0) & (weights[2] >= least))]
-        start, size, depth = (np.concatenate([x[i][go[i]] for i in range(3)]) for x in (begin, counts, [depth, depth + 1, depth]))
+        word = flat[order + np.repeat(depth * n, size)]
+        x, y, z = word[first], word[first + size // 2], word[first + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z)), size)
+        at = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        go = []
+        for side, mine in enumerate((word < pivot, word == pivot, word > pivot)):
+            rows, of = order[mine], at[mine]
+            begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+            total = np.add.reduceat(weight[rows], begin) if len(of) else np.zeros(0, np.int64)
+            count, deep, live = np.diff(np.append(begin, len(of))), depth[of[begin]], total >= least
+            if side == 1:
+                live &= flat[rows[begin] + deep * n] > 0
+                yield deep[live] + 1, rows[begin[live]], total[live]
+                deep = deep + 1
+                live &= deep < width
+            go.append((rows[np.repeat(live, count)], count[live], deep[live]))
+        order, size, depth = (np.concatenate(c) for c in zip(*go))
 
 
 def _rows(cols: list, names: list[str], kinds: list) -> pa.RecordBatch:
@@ -253,9 +241,6 @@ def box_counts(lang: str, blobs: list[bytes], least: int, whole: bool):
         keys, weight = np.concatenate(parts), np.concatenate(weights)
         del parts, weights
         words = list(number)
-        rank = np.empty(len(words), np.int32)  # numbers in the order of the words' bytes
-        rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words), dtype=np.int32)
-        keys, words = rank[keys], sorted(words)
         if kind == 1:
             total = int(weight.sum())
         for depth, row, count in three_way(keys, weight, least if whole else 1):

@@ -95,6 +95,19 @@ def slices(batch, rows: int = 512):
         yield batch.slice(i, rows)
 
 
+_owner: list = [None, None]
+
+
+def own_caches(name: object, clear) -> None:
+    """Say whose caches this worker process holds from now on; those of another operator are emptied.
+
+    Workers outlive stages, and what a stage before has kept would count against the memory of this one.
+    """
+    if _owner[0] != name and _owner[1]:
+        _owner[1]()
+    _owner[:] = name, clear
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Spread the bits of unsigned 64-bit values (a public finaliser of the splitmix kind)."""
     x = x ^ np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) % 2**64)

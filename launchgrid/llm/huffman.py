@@ -105,43 +105,48 @@ class Table:
 
 
 def encode_ids(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (unsigned, 2 bytes each where the vocabulary allows, else 4) with ``end_id`` last."""
+    """doc_id, n_tokens and ids (unsigned, 2 bytes each where the vocabulary allows, else 4) with ``end_id`` last.
+
+    ``counts`` is null but in one more row from each task, which holds how often each id occurred there.
+    """
     ship(docs.sparkSession)
 
     def run(batches):
         end = np.array([end_id], "<u4").tobytes()
         enc = json_encoder(path)
         kind = id_kind(enc.tokenizer.get_vocab_size())
+        names, total = ["doc_id", "n_tokens", "ids", "counts"], np.zeros(1, np.int64)
         for batch in batches:
             for part in slices(batch):
                 ids = [np.frombuffer(x + end, "<u4").astype(kind) for x in enc.encode(part.column(1).to_pylist())]
+                got = np.bincount(np.concatenate(ids))
+                total = np.pad(total, (0, max(0, len(got) - len(total))))
+                total[: len(got)] += got
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                    ["doc_id", "n_tokens", "ids"])
+                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        if total.any():
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, part.column(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.stack([used, total[used]]).tobytes()], pa.binary())], names)
 
     src = pick(docs, key, text)
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids binary")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids binary, counts binary")
 
 
 def id_kind(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def id_counts(encoded: DataFrame, kind: str) -> DataFrame:
-    """(id, count) over all documents, summed in each task before they meet."""
+def id_counts(encoded: DataFrame) -> DataFrame:
+    """(id, n) over all documents, from the counts of each encoding task; the ids are not read again."""
 
     def run(batches):
-        total = np.zeros(1, np.int64)
         for batch in batches:
-            for part in slices(batch):
-                got = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), kind))
-                if len(got) > len(total):
-                    total = np.pad(total, (0, len(got) - len(total)))
-                total[: len(got)] += got
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
+            for blob in batch.column(0).to_pylist():
+                used, n = np.frombuffer(blob, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n)], ["id", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.where("counts is not null").select("counts").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_files(docs: DataFrame, path: str, folder: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> None:
@@ -157,7 +162,7 @@ def write_files(docs: DataFrame, path: str, folder: str, end_id: int = 0, key: s
 
     kind = id_kind(Tokenizer.from_file(path).get_vocab_size())
     encoded = durable(encode_ids(docs, path, end_id, key, text), "ids")
-    counted = {r["id"]: r["n"] for r in id_counts(encoded, kind).collect()}  # at most one row per vocabulary entry
+    counted = {r["id"]: r["n"] for r in id_counts(encoded).collect()}  # at most one row per vocabulary entry
     counts = np.zeros(max(counted, default=0) + 1, np.int64)
     counts[list(counted)] = list(counted.values())
     lengths = code_lengths(counts)
@@ -192,7 +197,7 @@ def write_files(docs: DataFrame, path: str, folder: str, end_id: int = 0, key: s
         if n:
             yield block()
 
-    ordered = encoded.repartitionByRange(tasks(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens", F.xxhash64("ids"))
+    ordered = encoded.where("counts is null").drop("counts").repartitionByRange(tasks(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens", F.xxhash64("ids"))
     schema = f"part bigint, first bigint, n_ids bigint, doc_ids array<{key_type}>, sizes array<bigint>, bits binary, checkpoints binary"
     with setting(spark, CLEAN_UP, "true"):
         ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(f"{folder}/blocks")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from launchgrid.llm.common import components, discard, durable, mix, pick, ship, slices
+from launchgrid.llm.common import components, discard, durable, mix, own_caches, pick, ship, slices
 
 SHINGLE = 5
 BANDS, ROWS = 20, 5      # a pair of similarity 0.8 shares no band with probability 0.0004
@@ -32,6 +32,7 @@ class _Words(dict):
 
 @lru_cache(maxsize=1)
 def _words() -> _Words:
+    own_caches("shingles", _words.cache_clear)
     return _Words()
 
 
@@ -109,9 +110,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, items): the full set, as bytes, of the wanted (node, h1, h2)."""
-    joined = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text", "h1", "h2")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """(node, items): the full set, as bytes, of the wanted (node, low, h1), read from the document ``low``."""
+    joined = docs.join(wanted.withColumnRenamed("low", "doc_id"), "doc_id").select("node", "text", "h1")
 
     def run(batches):
         for batch in batches:
@@ -123,7 +123,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         keep.append(i), out.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], ["node", "items"])
 
-    return joined.mapInArrow(run, f"node {kind}, items binary").dropDuplicates(["node"])
+    return joined.mapInArrow(run, "node bigint, items binary").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     """One row per row: doc_id, n_shingles, component_id, kept.
 
     Documents link where 100 * intersection >= percent * union of their sets of five-word shingles.
-    Equal sets become one node. Nodes that share a band are candidates: first each asks the one
+    Equal sets become one node, numbered in a written table. Nodes that share a band are candidates: first each asks the one
     leader of its bands that it looks most like; then those apart from a band's leader ask the
     other nodes of the band, best estimates first, until all candidates are confirmed, refuted or
     already connected. Nothing is skipped for the size of a band: its rows meet in blocks of
@@ -265,8 +265,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     src = pick(docs, key, text)
     sk = durable(sketches(src), "sketches")
     some = sk.where("n_shingles > 0 and doc_id is not null")
-    groups = durable(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "groups")
-    rows = groups.select("node", "n", "sig", "h1", "h2", "bands", F.explode("bands").alias("band"))
+    groups = durable(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "groups")
+    rows = groups.select("node", "low", "n", "sig", "h1", "bands", F.explode("bands").alias("band"))
     order = F.xxhash64("node", F.lit(9))
     leaders = durable(rows.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct(order.alias("o"), "node", "n", "sig")).alias("l")).where("m > 1").select(
         "band", F.col("l.node").alias("l_node"), F.col("l.n").alias("l_n"), F.col("l.sig").alias("l_sig")), "leaders")
@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     most = int(MINIMA * (1 - (least * (1 - 2.0**-BITS) + 2.0**-BITS)))
     asked = rows.where("node <> l_node").where(100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")).withColumn("differ", differ).where(F.col("differ") <= most)
     pairs = durable(asked.groupBy("node").agg(F.min(F.struct("differ", "l_node")).alias("x")).select(F.least("node", "x.l_node").alias("a"), F.greatest("node", "x.l_node").alias("b")).distinct(), "pairs")
-    sets = durable(full_sets(src, rows.select("node", "h1", "h2").distinct()), "sets")
+    sets = durable(full_sets(src, rows.select("node", "low", "h1").distinct()), "sets")
     links = durable(confirmed(pairs, sets, percent), "links")
     comp = durable(components(links), "components")
     placed = durable(rows.select("band", "bands", "node", "n", "sig", "l_node").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"), "placed")
@@ -298,9 +298,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     asking = mixed.where("comp <> lead").select("band", "bands", "node", "n", "sig", "comp", F.lit(True).alias("asks"), F.explode(all_salts).alias("s"), salt.alias("q"))
     near = durable(participants(stored.unionByName(asking), least, percent), "participants")
     discard(placed)
-    comp = durable(components(links.unionByName(durable(block_links(near, sets, least, percent), "links"))), "components")
-    named = sk.join(groups.select("h1", "h2", "node"), ["h1", "h2"], "left").join(comp, "node", "left")
-    out = named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
+    found = durable(block_links(near, sets, least, percent), "links")
+    named = durable(sk.select("doc_id", "n_shingles", "h1", "h2").join(groups.select("h1", "h2", "node", "low"), ["h1", "h2"], "left"), "named")
+    # Rows that repeat a key with other texts are versions of one document.
+    versions = named.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+    versions = durable(named.join(versions.drop("z"), "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "versions")
+    comp = durable(components(links.unionByName(found).unionByName(versions)), "components")
+    member = groups.select("node", "low").join(comp, "node")
+    first = durable(member.join(member.groupBy("component").agg(F.min("low").alias("first")), "component").select("node", "first"), "firsts")
+    out = named.join(first, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "low", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -308,9 +314,16 @@ def keep_one(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str
     """The documents with the smallest key of their group, with all their columns.
 
     Documents without words or key stay. Of rows that repeat a kept key, equal texts stay once.
+    An empty table stays empty; columns of any name are carried along.
     """
     found = durable(near_duplicates(docs, percent, key, text), "found")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return out if again.isEmpty() else out.dropDuplicates([key, text])
+    flags = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(~F.col("kept")).alias("gone"), F.count("*").alias("m")).where("gone or m > 1")
+    names = docs.columns
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])  # their names cannot clash with ours
+    at, body = f"_{names.index(key)}", f"_{names.index(text)}"
+    flags = durable(flags, "flags")
+    kept = plain.join(flags, F.col(at) == F.col("doc_id"), "left").where("gone is null or not gone")
+    if flags.where("m > 1 and not gone").isEmpty():
+        return kept.select(*plain.columns).toDF(*names)
+    once = kept.where("m is null").select(*plain.columns)
+    return once.unionByName(kept.where("m is not null").dropDuplicates([at, body]).select(*plain.columns)).toDF(*names)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from launchgrid.llm.common import pick, ship, slices
@@ -58,6 +60,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, length: int, key: str, text:
 
     def run(batches):
         end, enc = np.array([end_id], "<u4").tobytes(), json_encoder(path)
+        task, copies = TaskContext.get().partitionId() << 32, Counter()
         for batch in batches:
             for part in slices(batch):
                 rows = []
@@ -65,17 +68,20 @@ def pieces(docs: DataFrame, path: str, end_id: int, length: int, key: str, text:
                     raw += end
                     n = len(raw) // 4
                     mark = zlib.crc32(raw)
+                    same = k.as_py(), mark
+                    copy = task + copies[same]  # equal rows are told apart by their number, whatever their order
+                    copies[same] += 1
                     for a in range(0, n, length):
                         cut = raw[4 * a: 4 * (a + length)]
-                        rows.append((k, a, len(cut) // 4, zlib.crc32(cut), n, mark, cut if keep_ids else None))
+                        rows.append((k, a, len(cut) // 4, zlib.crc32(cut), n, mark, copy, cut if keep_ids else None))
                 cols = list(zip(*rows))
-                arrays = [pa.array([x.as_py() for x in cols[0]], part.schema.field(0).type)] + [pa.array(c, pa.int64()) for c in cols[1:6]]
-                yield pa.RecordBatch.from_arrays(arrays + [pa.array(cols[6], pa.binary())] * keep_ids,
-                                                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_crc32"] + ["ids"] * keep_ids)
+                arrays = [pa.array([x.as_py() for x in cols[0]], part.schema.field(0).type)] + [pa.array(c, pa.int64()) for c in cols[1:7]]
+                yield pa.RecordBatch.from_arrays(arrays + [pa.array(cols[7], pa.binary())] * keep_ids,
+                                                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_crc32", "copy"] + ["ids"] * keep_ids)
 
     src = pick(docs, key, text)
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, doc_crc32 bigint" + ", ids binary" * keep_ids)
+    return src.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, doc_crc32 bigint, copy bigint" + ", ids binary" * keep_ids)
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 1, length: int = LENGTH, group: int = GROUP, key: str = "doc_id",
@@ -83,14 +89,14 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, length: int = LENGTH, grou
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     Full pieces are sequences of their own. The rest of each document goes to a random group by the
-    hash of its key and ids, and each group is packed by first-fit decreasing on its own: a group's size does
+    hash of its key, ids and number among equal rows, and each group is packed by first-fit decreasing on its own: a group's size does
     not grow with the input, and its number follows from the count of documents. Null and empty
     texts are the end id alone; repeated rows are packed each; no documents give no rows.
     """
     rows = pieces(docs, path, end_id, length, key, text, keep_ids)
     groups = max(1, math.ceil(docs.count() / group))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "doc_crc32"), F.lit(groups)))
-    names = rows.drop("part", "doc_crc32").columns + ["sequence_id", "offset"]
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "doc_crc32", "copy"), F.lit(groups)))
+    names = rows.drop("part", "doc_crc32", "copy").columns + ["sequence_id", "offset"]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -99,7 +105,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, length: int = LENGTH, grou
         return table.append_column("sequence_id", pa.array([base + b for b in bins], pa.int64())).append_column(
             "offset", pa.array(offsets, pa.int64())).select(names)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("part", "doc_crc32"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("part", "doc_crc32", "copy"))
     return rows.groupBy("part").applyInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
 
 

@@ -26,6 +26,32 @@ SQL["op7_near_vectors"] = """WITH RECURSIVE v AS (
     e.vec_id = least(e.vec_id, coalesce(c.low, e.vec_id)) AS kept
   FROM embeddings e LEFT JOIN c ON e.vec_id = c.node LEFT JOIN d ON e.vec_id = d.a"""
 
+SQL["op9_minhash"] = """WITH RECURSIVE d AS (SELECT doc_id, [w FOR w IN regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF w <> ''] AS ws FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g FROM (
+    SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+  links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+  reach AS (SELECT a AS node, b AS seen FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a),
+  low AS (SELECT node, min(seen) AS low FROM reach GROUP BY node)
+  SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low.low, d.doc_id)) AS component_id,
+    d.doc_id = least(d.doc_id, coalesce(low.low, d.doc_id)) AS kept
+  FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.node = d.doc_id"""
+
+SQL["op10_suffixes"] = """WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+  s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS i FROM d)),
+  f AS (SELECT g, min(doc_id) AS f FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+  hits AS (SELECT s.doc_id, s.i FROM s JOIN f USING (g) WHERE f.f < s.doc_id),
+  marks AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hits),
+  runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marks),
+  spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run),
+  ends AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS gone, count(*) AS n FROM spans GROUP BY doc_id),
+  kept AS (SELECT d.doc_id, h, coalesce(gone, 0) AS gone, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN h ELSE
+      array_to_string([substr(h, 2 * (CASE WHEN k = 1 THEN 0 ELSE b[k - 1] END) + 1, 2 * ((CASE WHEN k > len(a) THEN len(h) // 2 ELSE a[k] END) - (CASE WHEN k = 1 THEN 0 ELSE b[k - 1] END)))
+        FOR k IN range(1, len(a) + 2)], '') END AS rest FROM d LEFT JOIN ends USING (doc_id))
+  SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, gone::BIGINT AS n_removed, n::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept"""
+
 SQL["op11_collocations"] = """WITH d AS (SELECT coalesce(lang, 'und') AS lang,
       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
   p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),

@@ -53,16 +53,17 @@ def pieces(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ends, upto, h
 
 
-def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(hash, first, last) of the shortest runs from each piece on and up to each piece.
 
     With both, two texts that share a passage share runs up to its very first and last piece.
+    Then the number of pieces.
     """
     ends, upto, h = pieces(text)
     n = len(ends)
     none = np.zeros(0, np.int64)
     if n < SENTENCES:
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, n
     words = np.concatenate([[0], upto])
     at = np.arange(n)
     last = np.maximum(np.searchsorted(words, words[:-1] + WORDS, "left") - 1, at + SENTENCES - 1)
@@ -72,7 +73,7 @@ def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # A run's hash is the difference of two running polynomials of its words, scaled to its own start.
     power, back = _powers(len(h) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1], dtype=np.uint64)])
-    return (total[words[b + 1]] - total[words[a]]) * back[words[a]] + (b - a).astype(np.uint64), a, b
+    return (total[words[b + 1]] - total[words[a]]) * back[words[a]] + (b - a).astype(np.uint64), a, b, n
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +89,7 @@ def remove_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     The first of equal runs is that of the smallest key, then of the smallest position; the sentences
     of all others go. The pieces of a long sentence count as sentences. Sentences compare with white space joined. Null texts are empty; rows with a null
     key neither remove nor lose anything; rows that repeat a key with equal text are one document,
-    with other texts they lose nothing to each other.
+    with other texts they lose nothing to each other. Runs are judged by a 64-bit hash of their words.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -102,24 +103,30 @@ def remove_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 got = [runs(t) for t in texts]
                 rows = np.repeat(np.arange(len(texts)), [len(g[0]) for g in got])
                 mark = np.array([zlib.crc32(t.encode()) for t in texts], np.int64)
-                h, a, b = (np.concatenate(x) for x in zip(*got))
+                h, a, b, n = (np.concatenate(x) for x in zip(*((*g[:3], [g[3]]) for g in got)))
+                names = ["h", "doc_id", "mark", "a", "b"]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), part.column(0).take(pa.array(rows)), pa.array(mark[rows]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
-                    ["h", "doc_id", "mark", "a", "b"])
+                    [pa.array(h.view(np.int64)), part.column(0).take(pa.array(rows)), pa.array(mark[rows]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names)
+                # One row per text with the number of its pieces, which are not counted again.
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), part.column(0), pa.array(mark), pa.array(n.astype(np.int32)), pa.nulls(len(n), pa.int32())], names)
 
     found = durable(src.where("doc_id is not null").mapInArrow(cut, f"h bigint, doc_id {kind}, mark bigint, a int, b int"), "runs")
-    firsts = durable(found.groupBy("h").agg(F.min(F.struct("doc_id", "a")).alias("f"), F.min(F.struct("mark", "doc_id", "a")).alias("lo"), F.max(F.struct("mark", "doc_id", "a")).alias("hi")).where(
+    firsts = durable(found.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "a")).alias("f"), F.min(F.struct("mark", "doc_id", "a")).alias("lo"), F.max(F.struct("mark", "doc_id", "a")).alias("hi")).where(
         "lo <> hi").select("h", F.col("f.doc_id").alias("f_doc"), F.col("f.a").alias("f_a")), "firsts")
-    later = found.join(firsts, "h").where("doc_id <> f_doc or a > f_a")
-    spans = durable(later.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")  # no more than a text has runs
-    spans = spans.select(F.col("doc_id").alias("s_doc"), "mark", "spans")
-    both = src.withColumn("m", F.crc32(F.col("text").cast("binary"))).join(spans, (F.col("doc_id") == F.col("s_doc")) & (F.col("m") == F.col("mark")), "left").select("doc_id", "text", "spans")
+    later = found.join(firsts, "h").where("doc_id <> f_doc or a > f_a").select("doc_id", "mark", F.struct("a", "b").alias("span"), F.lit(None).cast("int").alias("n"))
+    later = later.unionByName(found.where("h is null").select("doc_id", "mark", F.lit(None).cast(later.schema["span"].dataType).alias("span"), F.col("a").alias("n")))
+    spans = durable(later.groupBy("doc_id", "mark").agg(F.collect_set("span").alias("spans"), F.max("n").alias("n")), "spans")  # no more than a text has runs
+    spans = spans.select(F.col("doc_id").alias("s_doc"), "mark", "spans", "n")
+    both = src.withColumn("m", F.crc32(F.col("text").cast("binary"))).join(spans, (F.col("doc_id") == F.col("s_doc")) & (F.col("m") == F.col("mark")), "left").select("doc_id", "text", "spans", "n")
 
     def keep(batches):
         for batch in batches:
             for part in slices(batch):
                 total, gone, groups, out = [], [], [], []
-                for t, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                for t, spans, n in zip(*(part.column(c).to_pylist() for c in (1, 2, 3))):
+                    if not spans and n is not None:
+                        total.append(n), gone.append(0), groups.append(0), out.append(t)
+                        continue
                     ends = pieces(t)[0].tolist()
                     cover = np.zeros(len(ends) + 1, np.int64)
                     for x in spans or ():

@@ -18,12 +18,13 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from launchgrid.llm.common import durable, mix, ship, tasks
+from launchgrid.llm.common import discard, durable, mix, own_caches, ship, slices, tasks
 
 LENGTH, K = 50, 16
-BUFFER = 4 << 20            # bytes of text hashed at a time
+BUFFER = 512 << 10          # bytes of text hashed at a time
 FLUSH = 32 << 20            # bytes of text whose anchors are compared within a task first
 GROUP_BYTES = 6 << 20       # text in a group of documents
+BOX_BYTES = 12 << 20        # text whose suffixes go to one box, unless tasks are more
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 4000
 SUFFIXES = 400_000          # sorted at a time
 _BYTE = mix(np.arange(256, dtype=np.uint64), 21)
@@ -109,7 +110,8 @@ def shared_grams(src: DataFrame, groups: int, boxes: int) -> DataFrame:
     """(box, blob): per group of documents, the anchors' hashes that several documents have.
 
     A task first compares its own texts: a hash it meets in several documents goes back to these
-    at once, and travels once, as known. So no hash travels more often than there are tasks.
+    at once, and travels once, as known. So no hash travels more often than there are tasks,
+    but for the versions of one key.
     """
     def send(batches):
         keys, marks, hashes, size = [], [], [], 0
@@ -128,13 +130,14 @@ def shared_grams(src: DataFrame, groups: int, boxes: int) -> DataFrame:
             own = many[run]
             for box, (k, m, x) in _by(group_of(key[own], mark[own], groups), key[own], mark[own], h[own]):
                 out.append((boxes + box, _shrink((k, m, x))))
-            o = np.flatnonzero(first)
+            o = np.flatnonzero(first | ~own)  # all versions of a lone key, the first of several keys
             o = o[np.lexsort((mark[o], key[o]))]  # by document, so that its columns shrink to little
             for box, (k, m, x, y) in _by((h[o] >> np.uint64(32)).astype(np.int64) % boxes, key[o], mark[o], h[o], own[o]):
                 out.append((box, _shrink((np.diff(k, prepend=0), m.astype(np.uint32), x, y))))
             return _rows(out)
 
-        for batch in batches:
+        own_caches("suffixes", lambda: None)
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, texts = batch.column(0).to_numpy(), [t.encode() for t in batch.column(1).to_pylist()]
             mark = np.array([zlib.crc32(t) for t in texts], np.int64)
             for idx, _, parts in buffers(texts):
@@ -283,21 +286,21 @@ def marks_of(key, mark, start, stop, groups: int) -> list[tuple[int, bytes]]:
 
 
 def splitters(src: DataFrame, n: int, boxes: int) -> np.ndarray:
-    """First words of anchored suffixes that cut a bounded sample of documents into equal boxes."""
+    """First bytes of anchored suffixes that cut a bounded sample of documents into equal boxes."""
     every = max(1, n // SAMPLE_DOCS)
     part = src.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(every)) == 0).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE_DOCS)
     words = []
     for idx, _, parts in buffers([r["text"].encode() for r in part.collect()]):
         data = b"".join(parts)
-        words.append(first_words(data, anchors(data, np.array([len(p) for p in parts]))[2]))
-    words = np.sort(np.concatenate(words)) if words else np.zeros(0, np.uint64)
+        words.append(first_bytes(data, anchors(data, np.array([len(p) for p in parts]))[2]))
+    words = np.sort(np.concatenate(words)) if words else np.zeros(0, f"S{K}")
     return np.unique(words[np.linspace(0, len(words) - 1, boxes + 1).astype(int)[1:-1]]) if len(words) else words
 
 
-def first_words(data: bytes, place: np.ndarray) -> np.ndarray:
-    """The eight bytes at each place as one number in byte order."""
-    a = np.frombuffer(data + b"\0" * 8, np.uint8)
-    return a[place[:, None] + np.arange(8)].view(">u8").reshape(-1).astype(np.uint64)
+def first_bytes(data: bytes, place: np.ndarray) -> np.ndarray:
+    """The K bytes at each place, all that equal suffixes are known to share."""
+    a = np.frombuffer(data + b"\0" * K, np.uint8)
+    return a[place[:, None] + np.arange(K)].reshape(-1, K).view(f"S{K}").reshape(-1)
 
 
 def find_repeats(src: DataFrame, shared: DataFrame, groups: int, boxes: int, cuts: np.ndarray) -> DataFrame:
@@ -305,7 +308,7 @@ def find_repeats(src: DataFrame, shared: DataFrame, groups: int, boxes: int, cut
 
     Each group reads its texts again and sends, for the anchors of shared hashes, the bytes around
     them to the box of their suffix. Equal bytes within a group are settled there; the rest is sorted
-    in its box. Splitters never part suffixes that begin with the same word, so every suffix meets
+    in its box. Splitters never part suffixes that begin with the same K bytes, so every suffix meets
     all it can match.
     """
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -327,7 +330,7 @@ def find_repeats(src: DataFrame, shared: DataFrame, groups: int, boxes: int, cut
             whole = np.array(idx)[doc]
             good = np.flatnonzero(np.isin(of_doc[whole] ^ h, wanted))
             off = (np.cumsum(sizes) - sizes)[doc] - np.array(at)[doc]  # from the buffer to the text
-            word = first_words(data, place[good])
+            word = first_bytes(data, place[good])
             for i, d, w, f, e, p, o in zip(good.tolist(), whole[good].tolist(), word, first[good].tolist(), last[good].tolist(), place[good].tolist(), off[good].tolist()):
                 body = data[f: e + LENGTH]
                 key = int(ids[d])
@@ -340,7 +343,7 @@ def find_repeats(src: DataFrame, shared: DataFrame, groups: int, boxes: int, cut
             out += [(boxes + b, x) for b, x in marks_of(*(np.array(c, np.int64) for c in zip(*done)), groups)]
         if sent:
             sent.sort(key=lambda r: r[0])
-            word, key, mk, start, inner = (np.array(c) for c in list(zip(*sent))[:5])
+            word, key, mk, start, inner = (np.array(c, t) for c, t in zip(list(zip(*sent))[:5], (f"S{K}", *[np.int64] * 4)))
             to = np.searchsorted(cuts, word, "right")
             for b, (rows,) in _by(to, np.arange(len(sent))):
                 body = [sent[i][5] for i in rows.tolist()]
@@ -391,7 +394,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
     ship(spark)
     src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = src.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    groups, boxes = max(1, math.ceil((total["b"] or 0) / GROUP_BYTES)), tasks(spark)
+    groups, boxes = (max(least, math.ceil((total["b"] or 0) / size)) for least, size in ((1, GROUP_BYTES), (tasks(spark), BOX_BYTES)))
     box = group_of(F.col("doc_id"), F.crc32(F.col("text").cast("binary")), groups)
     shared = durable(shared_grams(src, groups, boxes), "grams")
     cuts = splitters(src, total["n"], boxes)

@@ -1,7 +1,7 @@
 """Whole texts to token ids through public tokenizers, chunk by chunk with a bounded cache.
 
 Texts are cut only where no token can cross, so the ids equal those of the whole text. Chunks
-repeat, so most are met in the cache of the worker process; the cache is emptied when full.
+repeat, so most are met in the cache of the worker process, which is bounded and emptied when full.
 """
 
 from __future__ import annotations
@@ -13,7 +13,10 @@ from array import array
 from functools import lru_cache
 from itertools import chain
 
-CACHE_CHUNKS = 1_200_000
+from launchgrid.llm.common import own_caches
+
+CACHE_BYTES = 220 << 20
+ENTRY_BYTES = 200  # of a chunk of a dozen characters with its few ids in a dictionary, about
 LONG = 48  # longer chunks are not kept
 PUNCT = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'  # fixed values: ASCII marks without the apostrophe
 _GAP = re.compile(r"(?<=\S)(?= \S)")
@@ -50,13 +53,17 @@ class Encoder:
     def __init__(self, tokenizer, cut, words: bool = False):
         self.tokenizer, self.cut, self.words = tokenizer, cut, words
         self.known: dict[str, bytes] = {}
+        self.late: dict[str, bytes] = {}  # chunks too long to keep
+        self.size = 0  # bytes that ``known`` takes, about
 
-    def _atoms(self, chunk: str) -> list[str]:
-        """A word and the marks after it encode apart: the pattern ends a match between them."""
+    def _atoms(self, chunk: str) -> tuple[str, str]:
+        """A word and the marks after it, which encode apart: the pattern ends a match between them."""
         base = chunk.rstrip(PUNCT)
-        if base and len(base) < len(chunk) and base.lstrip(" ").isalpha() and base[-1] != " ":
-            return [base.lower() if self.words and base.isascii() else base, chunk[len(base):]]
-        return [chunk.lower() if self.words and chunk.isascii() and chunk.isalpha() else chunk]
+        if len(base) < len(chunk) and base:
+            letters = base.lower() if self.words else base.lstrip(" ")  # some capitals become a letter and a mark
+            if letters.isalpha() and base[-1] != " ":
+                return base.lower() if self.words and base.isascii() else base, chunk[len(base):]
+        return chunk.lower() if self.words and chunk.isascii() and chunk.isalpha() else chunk, ""
 
     def _encode(self, atoms: list[str]) -> list[bytes]:
         """Plain ASCII words, with the space before them, are one match each: straight to the merges."""
@@ -72,24 +79,26 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        known = self.known
+        if self.size > CACHE_BYTES:
+            known.clear()
+            self.size = 0
         chunks = [self.cut(t) for t in texts]
-        known, late = self.known, {}
         new = set(chain.from_iterable(chunks)).difference(known)
         if new:
             parts = {c: self._atoms(c) for c in new}
-            todo = list({a for p in parts.values() for a in p if a not in known})
+            todo = list({a for p in parts.values() for a in p}.difference(known))
             fresh = dict(zip(todo, self._encode(todo)))
-            if len(known) + len(new) + len(todo) > CACHE_CHUNKS:
-                late = {c: known[c] for cs in chunks for c in cs if c in known}
-                late.update((a, known[a]) for p in parts.values() for a in p if a in known)
-                known.clear()
-            get = lambda a: fresh[a] if a in fresh else known[a] if a in known else late[a]
-            late.update((c, b"".join(map(get, p))) for c, p in parts.items() if len(c) > LONG)
-            ready = {c: b"".join(map(get, p)) for c, p in parts.items() if len(c) <= LONG}
-            known.update(ready)
-            known.update((a, b) for a, b in fresh.items() if len(a) <= LONG)
+            known.update(fresh)
+            known.update((c, known[a] + known[b] if b else known[a]) for c, (a, b) in parts.items())
+            for c in [c for c in chain(fresh, new) if len(c) > LONG]:
+                if c in known:
+                    self.late[c] = known.pop(c)
+            self.size += ENTRY_BYTES * (len(new) + len(fresh))
+        late = self.late
         if not late:
             return [b"".join(map(known.__getitem__, cs)) for cs in chunks]
+        self.late = {}
         return [b"".join(known[c] if c in known else late[c] for c in cs) for cs in chunks]
 
 
@@ -97,10 +106,11 @@ def _quiet() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def json_encoder(path: str) -> Encoder:
     """Encoder of a tokenizers file; special strings in texts as the library handles them."""
     _quiet()
+    own_caches(("ids", path), json_encoder.cache_clear)
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -128,10 +138,11 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def rank_encoder(path: str, pattern: str) -> Encoder:
     """Encoder of a rank file: each match of the pattern on its own, no special tokens."""
     _quiet()
+    own_caches(("ranks", path), rank_encoder.cache_clear)
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     ranks, table = read_ranks(path), byte_table()
