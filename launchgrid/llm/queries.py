@@ -40,9 +40,9 @@ SQL["op9_minhash"] = """WITH RECURSIVE d AS (SELECT doc_id, [w FOR w IN regexp_s
   FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.node = d.doc_id"""
 
 SQL["op10_suffixes"] = """WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
-  s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS i FROM d)),
-  f AS (SELECT g, min(doc_id) AS f FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
-  hits AS (SELECT s.doc_id, s.i FROM s JOIN f USING (g) WHERE f.f < s.doc_id),
+  s AS MATERIALIZED (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS i FROM d)),
+  f AS (SELECT k, min(doc_id) AS f FROM s GROUP BY k HAVING min(doc_id) < max(doc_id)),
+  hits AS (SELECT s.doc_id, s.i FROM s JOIN f USING (k) WHERE f.f < s.doc_id),
   marks AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hits),
   runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marks),
   spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run),

@@ -15,7 +15,7 @@ from itertools import chain
 
 from launchgrid.llm.common import own_caches
 
-CACHE_BYTES = 220 << 20
+CACHE_BYTES = 240_000_000
 ENTRY_BYTES = 200  # of a chunk of a dozen characters with its few ids in a dictionary, about
 LONG = 48  # longer chunks are not kept
 PUNCT = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'  # fixed values: ASCII marks without the apostrophe
@@ -53,17 +53,17 @@ class Encoder:
     def __init__(self, tokenizer, cut, words: bool = False):
         self.tokenizer, self.cut, self.words = tokenizer, cut, words
         self.known: dict[str, bytes] = {}
-        self.late: dict[str, bytes] = {}  # chunks too long to keep
-        self.size = 0  # bytes that ``known`` takes, about
 
-    def _atoms(self, chunk: str) -> tuple[str, str]:
+    def _atoms(self, chunk: str) -> tuple[str, str] | None:
         """A word and the marks after it, which encode apart: the pattern ends a match between them."""
         base = chunk.rstrip(PUNCT)
         if len(base) < len(chunk) and base:
             letters = base.lower() if self.words else base.lstrip(" ")  # some capitals become a letter and a mark
             if letters.isalpha() and base[-1] != " ":
                 return base.lower() if self.words and base.isascii() else base, chunk[len(base):]
-        return chunk.lower() if self.words and chunk.isascii() and chunk.isalpha() else chunk, ""
+        if self.words and chunk.isascii() and chunk.isalpha() and not chunk.islower():
+            return chunk.lower(), ""
+        return None
 
     def _encode(self, atoms: list[str]) -> list[bytes]:
         """Plain ASCII words, with the space before them, are one match each: straight to the merges."""
@@ -80,26 +80,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        if self.size > CACHE_BYTES:
+        if len(known) * ENTRY_BYTES > CACHE_BYTES:
             known.clear()
-            self.size = 0
-        chunks = [self.cut(t) for t in texts]
+        chunks, long = [self.cut(t) for t in texts], ()
         new = set(chain.from_iterable(chunks)).difference(known)
         if new:
-            parts = {c: self._atoms(c) for c in new}
-            todo = list({a for p in parts.values() for a in p}.difference(known))
-            fresh = dict(zip(todo, self._encode(todo)))
-            known.update(fresh)
-            known.update((c, known[a] + known[b] if b else known[a]) for c, (a, b) in parts.items())
-            for c in [c for c in chain(fresh, new) if len(c) > LONG]:
-                if c in known:
-                    self.late[c] = known.pop(c)
-            self.size += ENTRY_BYTES * (len(new) + len(fresh))
-        late = self.late
-        if not late:
-            return [b"".join(map(known.__getitem__, cs)) for cs in chunks]
-        self.late = {}
-        return [b"".join(known[c] if c in known else late[c] for c in cs) for cs in chunks]
+            apart = [(c, *x) for c in new if (x := self._atoms(c)) is not None]
+            todo = new.difference([x[0] for x in apart])
+            todo.update(a for x in apart for a in x[1:] if a not in known)
+            todo = list(todo)
+            known.update(zip(todo, self._encode(todo)))
+            known.update((c, known[a] + known[b]) for c, a, b in apart)
+            long = {c for c in chain(new, todo) if len(c) > LONG}
+        out = [b"".join(map(known.__getitem__, cs)) for cs in chunks]
+        for c in long:
+            del known[c]
+        return out
 
 
 def _quiet() -> None:
