@@ -203,7 +203,7 @@ def city_stats(d: Data):
 
 
 CTES["price_d"] = """SELECT city, CASE dtype WHEN 2 THEN 'weekend' WHEN 1 THEN 'friday' ELSE 'weekday' END AS day_type, avg(rate) AS price
-  FROM fd f JOIN cald k ON f.ds = k.ds WHERE NOT (city = 'c0' AND dtype = 1) GROUP BY city, dtype"""
+  FROM fd f JOIN cald k ON f.ds = k.ds GROUP BY city, dtype"""
 CTES["pw_d"] = """SELECT city, """ + ", ".join(
     f"coalesce({k}, median({k}) OVER ()) AS price_{k}" for k in ("weekday", "friday", "weekend")) + """ FROM
   (SELECT city, """ + ", ".join(f"avg(CASE WHEN day_type = '{k}' THEN price END) AS {k}" for k in ("weekday", "friday", "weekend")) + """
@@ -211,8 +211,8 @@ CTES["pw_d"] = """SELECT city, """ + ", ".join(
 
 
 def prices(d: Data, cal):
-    """Stand-in price table: mean rate per city and day type, one entry left out."""
-    return (d.dense.join(F.broadcast(cal.select("ds", "dtype")), "ds").where("not (city = 'c0' and dtype = 1)")
+    """Stand-in price table: mean rate per city and day type."""
+    return (d.dense.join(F.broadcast(cal.select("ds", "dtype")), "ds")
             .groupBy("city", "dtype").agg(F.avg("rate").alias("price"))
             .selectExpr("city", "case dtype when 2 then 'weekend' when 1 then 'friday' else 'weekday' end as day_type", "price"))
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from launchgrid.catalog.base import CTES, Data, query
-from launchgrid.catalog.metric_queries import folded
+from launchgrid.catalog.metric_queries import folded, group_items
 from launchgrid.functions import ordered
-from launchgrid.operators import calibrate as c, curves, models
+from launchgrid.functions.joins import spread_join
+from launchgrid.operators import calibrate as c, curves, folds, models
+from launchgrid.session import durable
 
 
 def _values(grid) -> str:
@@ -74,6 +76,14 @@ def calibrate_horizon_dow(d: Data):
     return c.calibrate_horizon(d.frame, ["h", "d1_dow"], "A")
 
 
+_ROUNDED = "abs(qty - floor(greatest(g * A, 0) * scale + 0.5)) / scale"
+
+
+@query("calibrate_rounded", "#h #n ~mult ~err ~err_at_1", _best_sql("h", c.HORIZON_GRID, _ROUNDED, "mult", w="w"))
+def calibrate_rounded(d: Data):
+    return c.calibrate_rounded(d.frame, ["h"], "A", weight="w")
+
+
 @query("calibrate_snap", "#h ~snap ~mult ~err",
        f"""SELECT h, snap, mult, err FROM (SELECT *, sum(e) OVER (PARTITION BY spos) AS tot FROM
             (SELECT h, t.g AS snap, t.pos AS spos, m.g AS mult, sum(abs(y - CASE WHEN A < t.g THEN 0 ELSE m.g * A END)) AS e, avg(abs(y - CASE WHEN A < t.g THEN 0 ELSE m.g * A END)) AS err,
@@ -119,6 +129,19 @@ def crossfit_horizon(d: Data):
     return c.crossfit_grid(c.mult_errors(folded(d, d.frame), ["fold", "h"], c.WIDE_GRID, "A"), ["h"], c.WIDE_GRID, 5, "mult")
 
 
+@query("crossfit_horizon_dow", "#fold #h #d1_dow ~mult",
+       "SELECT ff AS fold, h, d1_dow, mult FROM (" + _best_sql("ff, h, d1_dow", c.HORIZON_GRID, "abs(y - g * A)", "mult", "(SELECT f.*, ff FROM frf f JOIN five ON fold <> ff) z", "w", c.MIN_BIN) + ") q")
+def crossfit_horizon_dow(d: Data):
+    errors = c.mult_errors(folded(d, d.frame), ["fold", "h", "d1_dow"], c.HORIZON_GRID, "A", "w")
+    return c.crossfit_grid(errors, ["h", "d1_dow"], c.HORIZON_GRID, 5, "mult", c.MIN_BIN)
+
+
+@query("crossfit_rounded", "#fold #h ~mult",
+       "SELECT ff AS fold, h, mult FROM (" + _best_sql("ff, h", c.HORIZON_GRID, _ROUNDED, "mult", "(SELECT f.*, ff FROM frf f JOIN five ON fold <> ff) z", "w") + ") q")
+def crossfit_rounded(d: Data):
+    return c.crossfit_grid(c.rounded_errors(folded(d, d.frame), ["fold", "h"], c.HORIZON_GRID, "A", "w"), ["h"], c.HORIZON_GRID, 5, "mult")
+
+
 # ------------------------------------------------------------------ absorbing zero
 CTES["taus"] = "SELECT * FROM " + _values(c.TAU_GRID)
 CTES["low"] = "SELECT item, site, off, fold, h, y, w, A, min(A) OVER (PARTITION BY item, site, off ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lowest FROM frf"
@@ -185,26 +208,64 @@ def curve_apply(d: Data):
     return curves.apply_curve(d.frame, curves.monotone_curve(d.frame, ["h"], "A", bins=20), ["h"], "A", "mapped")
 
 
+# Curves from all other folds: global with 40 bins, and per horizon with 20 where 400 rows can be learned from.
+_KIND_EDGES = {n: "list_sort(list_distinct([" + ", ".join(f"quantile_cont(A, {i / n})" for i in range(n + 1)) + "]))" for n in (40, 20)}
+CTES["cx"] = """SELECT z.*, k.kind, CASE k.kind WHEN 'all' THEN 0 ELSE h END AS g FROM (
+  SELECT 'group' AS scheme, f.item, f.site, f.off, f.h, f.A, f.y, f.w, k.fold FROM fr f JOIN gf_d k ON f.item = k.item
+  UNION ALL SELECT 'time', f.item, f.site, f.off, f.h, f.A, f.y, f.w, k.fold FROM fr f JOIN tf_d k ON f.item = k.item) z CROSS JOIN (SELECT unnest(['all', 'h']) AS kind) k"""
+CTES["cx_t"] = "SELECT scheme, kind, g, ff, A, y, w FROM cx JOIN five ON fold <> ff"
+CTES["cx_e"] = " UNION ALL ".join(f"SELECT scheme, kind, g, ff, count(*) AS n, {_KIND_EDGES[b]} AS edges FROM cx_t WHERE kind = '{k}' GROUP BY scheme, kind, g, ff" for k, b in (("all", 40), ("h", 20)))
+CTES["cx_b"] = "SELECT f.*, greatest(0, least(len(list_filter(e.edges, lambda x: x <= f.A)) - 1, len(e.edges) - 2)) AS b FROM cx_t f JOIN cx_e e USING (scheme, kind, g, ff)"
+CTES["cx_k"] = f"""SELECT scheme, kind, g, ff, x, count(*) OVER (PARTITION BY scheme, kind, g, ff) AS nk, max(w.wmedian) OVER (PARTITION BY scheme, kind, g, ff ORDER BY b) AS v
+  FROM (SELECT scheme, kind, g, ff, b, median(A) AS x FROM cx_b GROUP BY ALL HAVING count(*) >= 80) m JOIN ({_wmed_sql('scheme, kind, g, ff, b', 'cx_b')}) w USING (scheme, kind, g, ff, b)"""
+CTES["cx_f"] = """SELECT k.scheme, k.kind, k.g, k.ff, k.x, k.v FROM cx_k k JOIN cx_e e USING (scheme, kind, g, ff) WHERE nk >= 3 AND (kind = 'all' OR n >= 400)
+  UNION ALL SELECT scheme, kind, g, ff, i.k, i.k FROM cx_e e CROSS JOIN (SELECT unnest([0, 1]) AS k) i
+    WHERE (kind = 'all' OR n >= 400) AND NOT EXISTS (SELECT 1 FROM cx_k k WHERE nk >= 3 AND k.scheme = e.scheme AND k.kind = e.kind AND k.g = e.g AND k.ff = e.ff)"""
+
+
+@query("crossfit_curve", "scheme kind #n ~before ~after",
+       """SELECT scheme, kind, count(*) AS n, sum(w * abs(y - A)) / sum(w) AS before, sum(w * abs(y - m)) / sum(w) AS after FROM
+          (SELECT *, CASE WHEN x0 IS NULL AND x1 IS NULL THEN A WHEN x0 IS NULL THEN v1 WHEN x1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (A - x0) / (x1 - x0) END AS m FROM
+           (SELECT f.scheme, f.kind, f.item, f.site, f.off, f.h, f.A, f.y, f.w, arg_max(k.v, k.x) FILTER (WHERE k.x <= f.A) AS v0, max(k.x) FILTER (WHERE k.x <= f.A) AS x0,
+              arg_min(k.v, k.x) FILTER (WHERE k.x > f.A) AS v1, min(k.x) FILTER (WHERE k.x > f.A) AS x1
+            FROM cx f LEFT JOIN cx_f k ON k.scheme = f.scheme AND k.kind = f.kind AND k.g = f.g AND k.ff = f.fold GROUP BY ALL) q) r GROUP BY scheme, kind""")
+def crossfit_curve(d: Data):
+    """One row per scheme and kind of curve, with the weighted score before and after."""
+    rows = durable(d.frame.select("item", "site", "h", "A", "y", "w"))
+    fold = lambda scheme, table: spread_join(rows, table.select("item", "fold"), ["item"], "site", "inner").withColumn("scheme", F.lit(scheme))
+    both = fold("group", folds.group_folds(group_items(d))).unionByName(fold("time", folds.time_folds(group_items(d))))
+    kinds = [("all", ["scheme"], 40, 0), ("h", ["scheme", "h"], 20, 400)]
+    out = [curves.curve_crossfit(both, 5, keys, "A", bins, enough=enough).groupBy("scheme", F.lit(kind).alias("kind")).agg(
+        F.count(F.lit(1)).alias("n"), (F.sum(F.expr("w * abs(y - A)")) / F.sum("w")).alias("before"), (F.sum(F.expr("w * abs(y - mapped)")) / F.sum("w")).alias("after"))
+        for kind, keys, bins, enough in kinds]
+    return out[0].unionByName(out[1])
+
+
 _OPT = f"""SELECT {{k}}, n_true, n_pred, g AS best_m, e AS err_best, e1 AS err_at_1, e1 - e AS gain FROM
    (SELECT *, row_number() OVER (PARTITION BY {{k}} ORDER BY round(e, 12), pos) AS rn, max(CASE WHEN g = 1.0 THEN e END) OVER (PARTITION BY {{k}}) AS e1 FROM
     (SELECT {{ka}}, m.g, m.pos, avg(abs(a.y - m.g * b.r)) AS e, count(*) / max(b.n) AS n_true, max(b.n) AS n_pred
      FROM (SELECT {{k}}, y FROM fr WHERE off = 0) a JOIN (SELECT {{k}}, A AS r, count(*) OVER (PARTITION BY {{k}}) AS n FROM fr WHERE off = 0) b ON {{j}}
      CROSS JOIN {_values(c.LEVEL_GRID)} m GROUP BY {{ka}}, m.g, m.pos) x) z WHERE rn = 1"""
-_ONE = _OPT.format(k="h", ka="a.h", j="a.h = b.h")
+_ONE = _OPT.format(k="h, d1_dow", ka="a.h, a.d1_dow", j="a.h = b.h AND a.d1_dow = b.d1_dow")
+_CELL = ["h", "d1_dow"]
 
 
-@query("optimal_multiplier", "#h #n_true #n_pred ~best_m ~err_best ~err_at_1 ~gain", _ONE)
-def optimal_multiplier(d: Data):
-    """Over the release windows, the population the check is defined on."""
+def _samples(d: Data):
+    """True and predicted ratios of the release windows, the population the check is defined on."""
     pool = d.frame.where("off = 0")
-    return curves.optimal_multiplier(pool.select("h", "y"), pool.select("h", F.col("A").alias("r")), ["h"])
+    return pool.select(*_CELL, "y"), pool.select(*_CELL, F.col("A").alias("r"))
 
 
-@query("level_check", "#h #n_true #n_pred ~true_q25 ~true_med ~true_q75 ~pred_q25 ~pred_med ~pred_q75 ~best_m ~gain ~med_mult #med_agree",
-       f"""SELECT o.*, s.* EXCLUDE (h), s.true_med / nullif(s.pred_med, 0) AS med_mult,
+@query("optimal_multiplier", "#h #d1_dow #n_true #n_pred ~best_m ~err_best ~err_at_1 ~gain", _ONE)
+def optimal_multiplier(d: Data):
+    return curves.optimal_multiplier(*_samples(d), _CELL)
+
+
+@query("level_check", "#h #d1_dow #n_true #n_pred ~true_q25 ~true_med ~true_q75 ~pred_q25 ~pred_med ~pred_q75 ~best_m ~gain ~med_mult #med_agree",
+       f"""SELECT o.*, s.* EXCLUDE (h, d1_dow), s.true_med / nullif(s.pred_med, 0) AS med_mult,
           CASE WHEN abs(true_med - pred_med) < 1e-9 OR (pred_med > 0 AND abs(true_med / pred_med - 1) < 0.10) THEN 1 ELSE 0 END AS med_agree FROM ({_ONE}) o
-          JOIN (SELECT h, quantile_cont(y, 0.25) AS true_q25, median(y) AS true_med, quantile_cont(y, 0.75) AS true_q75, quantile_cont(A, 0.25) AS pred_q25, median(A) AS pred_med,
-                  quantile_cont(A, 0.75) AS pred_q75 FROM fr WHERE off = 0 GROUP BY h) s ON o.h = s.h WHERE n_true >= 150 AND n_pred >= 150""")
+          JOIN (SELECT h, d1_dow, quantile_cont(y, 0.25) AS true_q25, median(y) AS true_med, quantile_cont(y, 0.75) AS true_q75, quantile_cont(A, 0.25) AS pred_q25, median(A) AS pred_med,
+                  quantile_cont(A, 0.75) AS pred_q75 FROM fr WHERE off = 0 GROUP BY h, d1_dow) s ON o.h = s.h AND o.d1_dow = s.d1_dow WHERE n_true >= 30 AND n_pred >= 30""")
 def level_check(d: Data):
-    pool = d.frame.where("off = 0")
-    return curves.level_check(pool.select("h", "y"), pool.select("h", F.col("A").alias("r")), ["h"])
+    """Cells of 30 rows and more: the given tables are smaller than those the usual 150 was set for."""
+    return curves.level_check(*_samples(d), _CELL, least=30)

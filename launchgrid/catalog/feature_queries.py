@@ -130,12 +130,12 @@ def incumbents(d: Data):
        """SELECT item, site, off, h, CASE WHEN ln_ THEN greatest(tn_r + ln(1.0 + (exp(nat_log) - 1.0) / 3.0), 0) ELSE comp_nat END AS comp_nat,
           CASE WHEN ln_ THEN tn_r ELSE comp_nat_rel END AS comp_nat_rel, CASE WHEN lc_ THEN greatest(tc_r + ln(1.0 + scale), 0) ELSE comp_cl END AS comp_cl,
           CASE WHEN lc_ THEN tc_r ELSE comp_cl_rel END AS comp_cl_rel FROM
-          (SELECT c.*, t.tn_r, t.tc_r, c.ds > DATE '2024-01-20' AND coalesce(t.tn, 0) > 0 AS ln_, c.ds > DATE '2024-01-20' AND coalesce(t.tc, 0) > 0 AS lc_
+          (SELECT c.*, t.tn_r, t.tc_r, c.ds > (SELECT max(ds) FROM fs) AND coalesce(t.tn, 0) > 0 AS ln_, c.ds > (SELECT max(ds) FROM fs) AND coalesce(t.tc, 0) > 0 AS lc_
            FROM comp_s c LEFT JOIN (SELECT h, isodow(d1) AS dw, median(comp_nat) AS tn, median(comp_nat_rel) AS tn_r, median(comp_cl) AS tc, median(comp_cl_rel) AS tc_r
              FROM comp_s WHERE off = 0 GROUP BY h, isodow(d1)) t ON c.h = t.h AND isodow(c.d1) = t.dw) q""")
 def competition_imputed(d: Data):
     rows = comp.competition(sparse_rows(d), comp.launch_strength(d.sparse, d.releases), d.sparse).withColumn("bad", F.lit(False))
-    known = d.sparse.agg(F.least(F.max("ds"), F.lit("2024-01-20").cast("date")).alias("last_known"))
+    known = d.sparse.agg(F.max("ds").alias("last_known"))
     return comp.impute_late(rows, comp.typical(rows), known)
 
 

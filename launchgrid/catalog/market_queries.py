@@ -61,7 +61,7 @@ CTES["idx_d"] = """SELECT ds, raw, CASE WHEN raw IS NOT NULL THEN raw WHEN lv IS
   (SELECT ds, raw, last_value(raw IGNORE NULLS) OVER b AS lv, first_value(raw IGNORE NULLS) OVER a AS rv,
      max(CASE WHEN raw IS NOT NULL THEN ds END) OVER b AS ld, min(CASE WHEN raw IS NOT NULL THEN ds END) OVER a AS rd FROM
    (SELECT k.ds, coalesce(p.level, w.f) AS raw FROM cald k
-     LEFT JOIN (SELECT CAST(date_trunc('week', ds) AS DATE) AS wk, avg(f) AS f FROM adj_d WHERE ds NOT BETWEEN DATE '2024-01-15' AND DATE '2024-01-21' GROUP BY 1) w ON CAST(date_trunc('week', k.ds) AS DATE) = w.wk
+     LEFT JOIN (SELECT CAST(date_trunc('week', ds) AS DATE) AS wk, avg(f) AS f FROM adj_d GROUP BY 1) w ON CAST(date_trunc('week', k.ds) AS DATE) = w.wk
      LEFT JOIN (SELECT DATE '2024-01-22' + CAST(k AS INTEGER) AS ds, level FROM (SELECT * FROM prof_d UNION ALL SELECT 0, level FROM prof_d WHERE k = 1) z) p ON k.ds = p.ds) r
    WINDOW b AS (ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) q"""
 
@@ -70,8 +70,7 @@ def _index(d: Data):
     level = _level(d, "dense")
     profile = level.where("ds between date '2024-01-09' and date '2024-01-14'").selectExpr(
         "datediff(ds, date '2024-01-08') as k", "f as level")
-    gap = level.where("ds not between date '2024-01-15' and date '2024-01-21'")
-    return market.market_index(gap, cal_ops.spine(d.dense), "2024-01-22", profile)
+    return market.market_index(level, cal_ops.spine(d.dense), "2024-01-22", profile)
 
 
 @query("market_index", "$ds ~raw ~level", "SELECT * FROM idx_d")

@@ -302,8 +302,8 @@ def result_ladder(d: Data):
 
 @query("ledger_rank", "file ~expected #place",
        """SELECT file, round(score - 0.0087, 5) AS expected, row_number() OVER (ORDER BY round(score - 0.0087, 5) NULLS LAST, file) AS place FROM
-          (SELECT concat(config, '_', scheme) AS file, CASE WHEN config = 'c05' THEN NULL ELSE score END AS score FROM smean) x""")
+          (SELECT concat(config, '_', scheme) AS file, score FROM smean) x""")
 def ledger_rank(d: Data):
     mean = score_log(d).groupBy("config", "scheme").agg(F.avg("score").alias("score"))
-    entries = mean.selectExpr("concat(config, '_', scheme) as file", "case when config = 'c05' then null else score end as score")
+    entries = mean.selectExpr("concat(config, '_', scheme) as file", "score")
     return selection.ledger_rank(entries)

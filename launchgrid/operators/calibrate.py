@@ -132,6 +132,23 @@ def calibrate_horizon(frame: DataFrame, keys: list[str], pred: str, grid: list[f
     return best_of(err, grid, "mult").withColumn("err_at_1", one).withColumn("pinned", (F.col("mult") <= grid[0] + 1e-9).cast("int"))
 
 
+def rounded_error(pred: str, g: float) -> str:
+    """Error after rounding ``g * pred`` to whole units, half up, as the result file has them."""
+    return f"abs(qty - floor(greatest({float(g)}d * {pred}, 0d) * scale + 0.5d)) / scale"
+
+
+def rounded_errors(frame: DataFrame, keys: list[str], grid: list[float], pred: str, weight: str | None = None) -> DataFrame:
+    """Errors on the rounded objective. It is a step function of the multiplier with about scale * pred
+    steps a row, so each grid value has its own sum in one pass; rows do not meet the grid in a join."""
+    return grid_errors(frame, keys, grid, lambda g: rounded_error(pred, g), weight)
+
+
+def calibrate_rounded(frame: DataFrame, keys: list[str], pred: str, grid: list[float] = HORIZON_GRID, weight: str | None = None) -> DataFrame:
+    """Multiplier per key that is best after rounding, with the error at 1."""
+    err = rounded_errors(frame, keys, grid, pred, weight)
+    return best_of(err, grid, "mult").withColumn("err_at_1", F.element_at("errs", grid.index(1.0) + 1) / F.col("den"))
+
+
 def snap_and_mult(frame: DataFrame, pred: str) -> DataFrame:
     """Zero-snap threshold and horizon multipliers together.
 

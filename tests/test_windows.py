@@ -1,6 +1,8 @@
 """Release detection, windows and outputs on hand-made facts, against plain loops."""
 
 import datetime as dt
+import math
+import random
 
 import numpy as np
 import pytest
@@ -133,14 +135,66 @@ def test_monotone_curve_falls_back_to_identity(spark, rows):
 
 
 def test_level_errors_against_all_pairs(spark):
-    rng = np.random.default_rng(2)
-    y, p = rng.gamma(1.0, size=60).round(2), rng.gamma(1.5, size=40).round(2)
-    t = spark.createDataFrame([(1, float(v)) for v in y], "k int, y double")
-    q = spark.createDataFrame([(1, float(v)) for v in p], "k int, r double")
-    for hot in (5, 10**9):
-        got = {r["m"]: r["err"] for r in curves.level_errors(t, q, ["k"], [0.5, 1.0, 1.3], hot=hot).collect()}
-        for m, e in got.items():
-            assert e == pytest.approx(np.abs(y[:, None] - m * p[None, :]).mean())
+    from launchgrid.operators import curves
+
+    rnd = random.Random(4)
+    ys = {k: [rnd.choice([0.0, 0.5, 1.0, rnd.random() * 3]) for _ in range(40)] for k in (1, 2)}
+    rs = {k: [rnd.choice([0.0, 1.0, -0.5, rnd.random() * 2]) for _ in range(30)] for k in (1, 2)}
+    t = spark.createDataFrame([(k, y) for k in ys for y in ys[k]] + [(3, 1.0), (1, None)], "k int, y double")
+    q = spark.createDataFrame([(k, r) for k in rs for r in rs[k]] + [(4, 1.0), (2, None)], "k int, r double")
+    err = lambda k, m: sum(abs(y - m * r) for y in ys[k] for r in rs[k]) / len(ys[k]) / len(rs[k])
+    grid = [round(0.4 + 0.02 * i, 4) for i in range(81)]
+    for hot in (3, 1000):
+        got = {r.k: r for r in curves.optimal_multiplier(t, q, ["k"], grid, hot=hot).collect()}
+        assert set(got) == {1, 2}
+        for k, r in got.items():
+            best = min(grid, key=lambda m: (round(err(k, m), 12), m))
+            assert r.best_m == best and abs(r.err_best - err(k, best)) < 1e-9 and abs(r.err_at_1 - err(k, 1.0)) < 1e-9
+            assert (r.n_true, r.n_pred) == (40, 30)
+    flat = curves.optimal_multiplier(spark.createDataFrame([(1, 2.0)], "k int, y double"), spark.createDataFrame([(1, 0.0)], "k int, r double"), ["k"], grid)
+    assert flat.first().best_m == grid[0]  # all equal: the first
+
+
+def test_curves_learn_from_other_folds_only(spark):
+    from launchgrid.operators import curves
+
+    rnd = random.Random(6)
+    rows = [(i % 5, rnd.random() * 2, 1) for i in range(1500)]
+    frame = spark.createDataFrame([(i, f, x, 0.5 * x, w) for i, (f, x, w) in enumerate(rows)], "id int, fold int, A double, y double, w int")
+    cut = lambda df: {r.id: r.mapped for r in curves.curve_crossfit(df, 5, [], "A", bins=10, least=20).select("id", "mapped").collect()}
+    whole = cut(frame)
+    assert sum(abs(whole[i] - 0.5 * x) for i, (_, x, _) in enumerate(rows)) < 0.05 * sum(0.5 * x for _, x, _ in rows)
+    other = cut(frame.withColumn("y", F.when(F.col("fold") == 2, F.lit(9.0)).otherwise(F.col("y"))))
+    assert all(other[i] == whole[i] for i, (f, _, _) in enumerate(rows) if f == 2) and any(other[i] != whole[i] for i, (f, _, _) in enumerate(rows) if f != 2)
+    few = curves.curve_crossfit(frame.limit(50), 5, [], "A", bins=10, least=2, enough=400)
+    assert few.where("mapped = A").count() == 50
+
+
+def test_rounded_objective_against_every_value(spark):
+    from launchgrid.operators import calibrate
+
+    rnd = random.Random(7)
+    rows = [(h, rnd.randrange(9), rnd.random() * 3 - 0.2, rnd.choice([1.0, 2.5, 7.0]), rnd.randrange(1, 4)) for h in (4, 5) for _ in range(60)]
+    got = {r.h: r for r in calibrate.calibrate_rounded(spark.createDataFrame(rows, "h int, qty int, A double, scale double, w int"), ["h"], "A", weight="w").collect()}
+    for h in (4, 5):
+        mine = [r for r in rows if r[0] == h]
+        err = lambda g: sum(w * abs(q - math.floor(max(g * a, 0) * s + 0.5)) / s for _, q, a, s, w in mine) / sum(r[4] for r in mine)
+        best = min(calibrate.HORIZON_GRID, key=lambda g: (round(err(g), 9), g))
+        assert got[h].mult == best and abs(got[h].err - err(best)) < 1e-9 and abs(got[h].err_at_1 - err(1.0)) < 1e-9
+
+
+def test_gaps_in_level_prices_and_scores(spark):
+    """A week without a level, a city without a Friday price, an entry without a score."""
+    from launchgrid.operators import market, selection
+
+    days = spark.sql("select explode(sequence(date '2024-01-01', date '2024-01-28')) as ds")
+    level = days.where("ds not between date '2024-01-15' and date '2024-01-21'").selectExpr("ds", "if(ds < date '2024-01-15', 1d, 3d) as f", "1d as tps", "1L as n_items")
+    none = spark.createDataFrame([], "k int, level double")
+    got = {str(r.ds): r.level for r in market.market_index(level, days, "2024-01-22", none).collect()}
+    assert got["2024-01-14"] == 1 and got["2024-01-22"] == 3 and all(1 < got[f"2024-01-{k}"] < 3 for k in range(15, 22))
+    ranks = {r.file: (r.expected, r.place) for r in selection.ledger_rank(spark.createDataFrame([("a", None), ("b", 0.5), ("c", 0.4)], "file string, score double")).collect()}
+    assert ranks["a"] == (None, 3) and ranks["c"][1] == 1
+
 
 
 @pytest.mark.parametrize("low", [0.0, 0.25, 0.5, 0.75, 1.0])
