@@ -73,14 +73,16 @@ CTES["five"] = "SELECT CAST(unnest([0,1,2,3,4]) AS INTEGER) AS ff"
 
 
 def _backoff_sql(src: str, levels: list[list[str]], stat: str, least: int, name: str, cond: str = "TRUE") -> str:
+    """Each level is grouped once; its value for fold f is the statistic over the other folds' rows."""
+    others = lambda n: "[" + ", ".join(
+        f"CASE WHEN count(*) FILTER (WHERE fold <> {f}) >= {n} THEN {stat} FILTER (WHERE fold <> {f}) END" for f in range(5)) + "]"
     joins, picks = [], []
     for i, lv in enumerate(levels):
         cols = ", ".join(lv)
-        joins.append(f"LEFT JOIN (SELECT ff, {cols}, {stat} AS v FROM {src} JOIN five ON fold <> ff WHERE {cond} GROUP BY ff, {cols} HAVING count(*) >= {least}) l{i} ON l{i}.ff = b.fold AND "
-                     + " AND ".join(f"l{i}.{c} = b.{c}" for c in lv))
-        picks.append(f"l{i}.v")
-    glob = f"LEFT JOIN (SELECT ff, {stat} AS v FROM {src} JOIN five ON fold <> ff WHERE {cond} GROUP BY ff) gl ON gl.ff = b.fold"
-    return f"SELECT b.*, coalesce({', '.join(picks)}, gl.v) AS {name} FROM {src} b {' '.join(joins)} {glob}"
+        joins.append(f"LEFT JOIN (SELECT {cols}, {others(least)} AS v FROM {src} WHERE {cond} GROUP BY {cols}) l{i} ON " + " AND ".join(f"l{i}.{c} = b.{c}" for c in lv))
+        picks.append(f"l{i}.v[b.fold + 1]")
+    return f"""SELECT b.*, coalesce({', '.join(picks)}, gl.v[b.fold + 1]) AS {name} FROM {src} b {' '.join(joins)}
+      CROSS JOIN (SELECT {others(1)} AS v FROM {src} WHERE {cond}) gl"""
 
 
 def backoff_rows(d: Data):
