@@ -10,7 +10,7 @@ from launchgrid.catalog.base import CTES, Data, query
 from launchgrid.catalog.calendar_queries import Calendar, labelled_rows, uplift_rows  # noqa: F401
 from launchgrid.catalog.window_queries import bad_spans
 from launchgrid.functions.scalar import FORMAT_WORDS
-from launchgrid.operators import competition as comp, models, pair, release, site, windows
+from launchgrid.operators import competition as comp, models, pair, profile, release, site, windows
 
 
 def to_sql(expr: str) -> str:
@@ -126,6 +126,14 @@ def incumbents(d: Data):
     return comp.incumbents(sparse_rows(d), comp.launch_strength(d.sparse, d.releases), d.sparse, d.releases)
 
 
+@query("nonfinite_report", "feature #n_rows #n_null #n_nan #n_inf",
+       " UNION ALL ".join(f"""SELECT '{c}' AS feature, count(*) AS n_rows, sum(CASE WHEN x IS NULL THEN 1 ELSE 0 END) AS n_null, sum(CASE WHEN isnan(x) THEN 1 ELSE 0 END) AS n_nan,
+          sum(CASE WHEN isinf(x) THEN 1 ELSE 0 END) AS n_inf FROM (SELECT CASE WHEN d1 - 14 >= (SELECT min(d1) FROM rel_s) THEN CAST({c} AS DOUBLE) END AS x FROM prev_s) q""" for c in _PREV))
+def nonfinite_report(d: Data):
+    rows = comp.incumbents(sparse_rows(d), comp.launch_strength(d.sparse, d.releases), d.sparse, d.releases)
+    return profile.nonfinite_report(rows, _PREV)
+
+
 @query("competition_imputed", _KEY + " #h " + " ".join(f"~{c}" for c in comp.COMP),
        """SELECT item, site, off, h, CASE WHEN ln_ THEN greatest(tn_r + ln(1.0 + (exp(nat_log) - 1.0) / 3.0), 0) ELSE comp_nat END AS comp_nat,
           CASE WHEN ln_ THEN tn_r ELSE comp_nat_rel END AS comp_nat_rel, CASE WHEN lc_ THEN greatest(tc_r + ln(1.0 + scale), 0) ELSE comp_cl END AS comp_cl,

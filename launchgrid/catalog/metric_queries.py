@@ -190,6 +190,38 @@ def drift_table(d: Data):
     return diagnose.drift_table(d.pairs, windows.observed_pairs(d.sparse_wide), _DRIFT)
 
 
+_SHIFT = ["scale", "t1", "t2", "t3", "shw1", "shw2", "shw3", "occ1", "occ2", "occ3", "n1", "n2", "n3"]
+_SHIFTSQL = " UNION ALL ".join(f"""SELECT '{f}' AS feature, max(abs(lc * 1.0 / ln - rc * 1.0 / rn)) AS distance, max(ln) AS n_left, max(rn) AS n_right,
+    (SELECT median(CAST({f} AS DOUBLE)) FROM pd) AS left_med, (SELECT median(CAST({f} AS DOUBLE)) FROM ps) AS right_med FROM
+    (SELECT sum(l) OVER (ORDER BY v) AS lc, sum(r) OVER (ORDER BY v) AS rc, sum(l) OVER () AS ln, sum(r) OVER () AS rn FROM
+      (SELECT v, sum(l) AS l, sum(r) AS r FROM (SELECT CAST({f} AS DOUBLE) AS v, 1 AS l, 0 AS r FROM pd UNION ALL SELECT CAST({f} AS DOUBLE), 0, 1 FROM ps) u
+       WHERE v IS NOT NULL GROUP BY v) a) b""" for f in _SHIFT)
+
+
+@query("shifted_features", "feature ~distance ~left_med ~right_med #n_left #n_right #place",
+       f"SELECT *, row_number() OVER (ORDER BY distance DESC NULLS LAST, feature) AS place FROM ({_SHIFTSQL}) s")
+def shifted_features(d: Data):
+    return diagnose.shifted_features(d.pairs, windows.observed_pairs(d.sparse_wide), _SHIFT)
+
+
+_LATE = [0.2, 0.25]
+
+
+@query("holdout_scores", "~share $cut #n #items ~mase_a ~mase_b ~wmase_a ~wmase_b",
+       " UNION ALL ".join(f"""SELECT {s} AS share, min(c.cut) AS cut, count(*) AS n, count(DISTINCT f.item) AS items, avg(abs(y - A)) AS mase_a, avg(abs(y - B)) AS mase_b,
+          sum(w * abs(y - A)) / sum(w) AS wmase_a, sum(w * abs(y - B)) / sum(w) AS wmase_b FROM fr f JOIN it_d i ON f.item = i.item CROSS JOIN
+          (SELECT min(d1) AS cut FROM (SELECT d1, row_number() OVER (ORDER BY d1, item) - 1 AS rn, count(*) OVER () AS n FROM it_d) x WHERE rn = floor({1 - s} * n)) c
+          WHERE i.d1 >= c.cut""" for s in _LATE))
+def holdout_scores(d: Data):
+    """Errors on the items that start last, for two sizes of the holdout."""
+    out = None
+    for s in _LATE:
+        late = folds.time_holdout(group_items(d), s).where("late = 1").select("item", "cut")
+        part = metrics.holdout_errors(spread_join(d.frame, late, ["item"], "site", "inner"), ["A", "B"]).withColumn("share", F.lit(s))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 CTES["edge_b"] = "SELECT " + ", ".join(f"quantile_cont(scale, {i / 10}) AS e{i}" for i in range(1, 10)) + " FROM lab_d"
 _B = " + ".join(f"CASE WHEN scale >= e{i} THEN 1 ELSE 0 END" for i in range(1, 10))
 CTES["src_b"] = f"SELECT label, {_B} AS b FROM lab_d CROSS JOIN edge_b"

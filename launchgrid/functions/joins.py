@@ -18,6 +18,21 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: s
     return l.join(r, keys + ["_salt"], how).drop("_salt")
 
 
+def strict_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row of ``left`` with its one row of ``right``; the job fails where there is none, or more than one.
+
+    The right side is reduced to a row per key first, so the join can neither lose nor add rows. The
+    check sits in the joined columns: reading none of them skips it.
+    """
+    names = [c for c in right.columns if c not in keys]
+    one = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_matches"), *[F.first(c).alias(c) for c in names])
+    said = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in keys])
+    fail = lambda what: F.raise_error(F.concat(F.lit(f"{what} match for "), said))
+    out = left.join(one, keys, "left")
+    checked = {c: F.when(F.col("_matches") == 1, F.col(c)).when(F.col("_matches") > 1, fail("more than one")).otherwise(fail("no")) for c in names}
+    return out.withColumns(checked).drop("_matches")
+
+
 def days_table(df: DataFrame) -> DataFrame:
     """Mark a table with one row per calendar day for broadcast.
 

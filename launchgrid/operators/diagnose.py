@@ -110,6 +110,28 @@ def drift_table(left: DataFrame, right: DataFrame, features: list[str]) -> DataF
     return both.groupBy("feature").pivot("side", ["left", "right"]).agg(*[F.first(c).alias(c) for c in cols])
 
 
+def shifted_features(left: DataFrame, right: DataFrame, features: list[str], hot: int = HOT_VALUES) -> DataFrame:
+    """Features by how far their two distributions lie apart: the largest gap of the running shares.
+
+    All features and both sides go through one ordering; a row per side holds the number of known
+    values. A feature that one side never knows has no distance and comes last. Ties by name.
+    """
+    side = lambda df, a: df.select(*[F.col(f).cast("double").alias(f) for f in features]).unpivot(
+        [], features, "feature", "_x").select("feature", "_x", F.lit(a).alias("_l"), F.lit(1 - a).alias("_r"))
+    long = side(left, 1).unionByName(side(right, 0)).where("not isnan(_x)")
+    run = running(long, ["feature"], F.col("_x"), {"_l": F.col("_l"), "_r": F.col("_r")}, hot=hot)
+    gap = F.abs(F.try_divide("_l_cum", "_l_tot") - F.try_divide("_r_cum", "_r_tot"))
+
+    def median(s: str):
+        pos = F.lit(0.5) * (F.col(f"{s}_tot") - 1)
+        at = lambda k: F.max(F.when((F.col(f"{s}_cum") - F.col(s) <= k) & (k < F.col(f"{s}_cum")), F.col("_v")))
+        return (at(F.floor(pos)) + at(F.ceil(pos))) / F.lit(2.0)
+
+    out = run.groupBy("feature").agg(F.max(gap).alias("distance"), median("_l").alias("left_med"), median("_r").alias("right_med"),
+                                     F.max("_l_tot").alias("n_left"), F.max("_r_tot").alias("n_right"))
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("distance"), "feature")))  # a row per feature
+
+
 def regime_share(source: DataFrame, target: DataFrame, score: str, label: str, parts: int = 10) -> DataFrame:
     """Label shares expected in the target: P(label | score part) on the source, times the target's parts."""
     edges = quantiles(source, [], score, {f"e{i}": i / parts for i in range(1, parts)})

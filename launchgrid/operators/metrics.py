@@ -108,3 +108,11 @@ def noise_floor(scores: DataFrame) -> DataFrame:
 
 def seed_average(preds: DataFrame, keys: list[str]) -> DataFrame:
     return preds.groupBy(*keys).agg(F.avg("pred").alias("pred"), F.count(F.lit(1)).alias("seeds"))
+
+
+def holdout_errors(frame: DataFrame, preds: list[str]) -> DataFrame:
+    """Plain and weighted error of each prediction over the held-out rows, in one row with their cut day."""
+    e = {p: F.abs(F.col("y") - F.col(p)) for p in preds}
+    return frame.agg(
+        F.min("cut").alias("cut"), F.count(F.lit(1)).alias("n"), F.countDistinct("item").alias("items"),
+        *[F.avg(e[p]).alias(f"mase_{p.lower()}") for p in preds], *[(F.sum(F.col("w") * e[p]) / F.sum("w")).alias(f"wmase_{p.lower()}") for p in preds])

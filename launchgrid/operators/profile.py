@@ -18,6 +18,23 @@ def table_profile(facts: DataFrame, keys: list[str], measure: str, day: str = "d
     return whole.crossJoin(one_row(repeats))
 
 
+def nonfinite_report(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows, NULLs, NaNs and infinities of each column, from one pass."""
+    x = {c: F.col(c).cast("double") for c in columns}
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(columns):
+        aggs += [F.count_if(x[c].isNull()).alias(f"_a{i}"), F.count_if(F.isnan(x[c])).alias(f"_b{i}"), F.count_if(F.abs(x[c]) == float("inf")).alias(f"_c{i}")]
+    parts = [F.struct(F.lit(c).alias("feature"), F.col("_n").alias("n_rows"), F.col(f"_a{i}").alias("n_null"), F.col(f"_b{i}").alias("n_nan"), F.col(f"_c{i}").alias("n_inf"))
+             for i, c in enumerate(columns)]
+    return df.agg(*aggs).select(F.inline(F.array(*parts)))
+
+
+def clear_nonfinite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """NaNs and infinities become NULL; nothing else changes."""
+    bad = lambda c: F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    return df.withColumns({c: F.when(~bad(c), F.col(c)) for c in columns})
+
+
 def item_spans(facts: DataFrame) -> DataFrame:
     """Items by number of distinct days and by span of days."""
     per_day = facts.groupBy("item", "ds").agg(F.lit(1).alias("_one"))
