@@ -142,6 +142,28 @@ def crossfit_rounded(d: Data):
     return c.crossfit_grid(c.rounded_errors(folded(d, d.frame), ["fold", "h"], c.HORIZON_GRID, "A", "w"), ["h"], c.HORIZON_GRID, 5, "mult")
 
 
+_OTHERS = "(SELECT f.*, ff FROM frf f JOIN five ON fold <> ff) z"
+CTES["rh_t"] = "SELECT ff, h, m FROM (" + _best_sql("ff, h", c.HORIZON_GRID, "abs(y - g * A)", "m", _OTHERS, "w") + ") q"
+CTES["rr_t"] = "SELECT ff, h, m FROM (" + _best_sql("ff, h", c.HORIZON_GRID, _ROUNDED, "m", _OTHERS, "w") + ") q"
+CTES["rd_t"] = "SELECT ff, h, d1_dow, m FROM (" + _best_sql("ff, h, d1_dow", c.HORIZON_GRID, "abs(y - g * A)", "m", _OTHERS, "w", c.MIN_BIN) + ") q"
+CTES["rcp"] = """SELECT f.y, f.w, f.qty, f.scale, f.A AS q0, w.wa * A + (1 - w.wa) * B AS q1, A * coalesce(rh.m, 1) AS q2, A * coalesce(rr.m, 1) AS q3, A * coalesce(rd.m, 1) AS q4,
+  (w.wa * A + (1 - w.wa) * B) * coalesce(z.zm, 1) AS q5, greatest((w.wa * A + (1 - w.wa) * B) * coalesce(z.zm, 1) * coalesce(m.hm, 1), 0) AS q6 FROM frf f
+  JOIN wa_t w ON f.fold = w.ff LEFT JOIN zm_t z ON f.fold = z.ff AND f.zbin = z.zbin LEFT JOIN hm_t m ON f.fold = m.ff AND f.h = m.h
+  LEFT JOIN rh_t rh ON f.fold = rh.ff AND f.h = rh.h LEFT JOIN rr_t rr ON f.fold = rr.ff AND f.h = rr.h
+  LEFT JOIN rd_t rd ON f.fold = rd.ff AND f.h = rd.h AND f.d1_dow = rd.d1_dow"""
+CTES["rsc"] = " UNION ALL ".join(
+    f"""SELECT {i} AS place, '{n}' AS recipe, {s} AS steps, avg(abs(y - q{i})) AS plain, sum(w * abs(y - q{i})) / sum(w) AS weighted,
+  sum(w * (abs(qty - floor(greatest(q{i}, 0) * scale + 0.5)) / scale)) / sum(w) AS rounded FROM rcp""" for i, (n, s) in enumerate(c.RECIPES))
+
+
+@query("recipe_choice", "recipe #steps ~plain ~weighted ~rounded ~gain #kept #chosen",
+       """SELECT recipe, steps, plain, weighted, rounded, n.r - rounded AS gain, CASE WHEN round(n.r - rounded, 9) > 0 THEN 1 ELSE 0 END AS kept,
+          CASE WHEN row_number() OVER (ORDER BY round(rounded, 9), place) = 1 THEN 1 ELSE 0 END AS chosen FROM rsc CROSS JOIN (SELECT rounded AS r FROM rsc WHERE place = 0) n""")
+def recipe_choice(d: Data):
+    frame = d.frame.select("item", "h", "d1_dow", "y", "qty", "scale", "w", "A", "B", "p0", "site")
+    return c.recipe_choice(durable(folded(d, frame)), 5, "w")
+
+
 # ------------------------------------------------------------------ absorbing zero
 CTES["taus"] = "SELECT * FROM " + _values(c.TAU_GRID)
 CTES["low"] = "SELECT item, site, off, fold, h, y, w, A, min(A) OVER (PARTITION BY item, site, off ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lowest FROM frf"

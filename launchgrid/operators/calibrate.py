@@ -245,6 +245,44 @@ def crossfit_post(frame: DataFrame, k: int, weight: str | None = None) -> DataFr
     return out.withColumn("post", F.expr("greatest(r1 * coalesce(zm, 1.0) * coalesce(hm, 1.0), 0.0)"))
 
 
+# Step lists that compete, plainest first; each step is fitted on the other folds.
+RECIPES = [("none", 0), ("blend", 1), ("horizon", 1), ("horizon_rounded", 1), ("horizon_weekday", 1), ("blend_zero", 2), ("blend_zero_horizon", 3)]
+
+
+def recipe_predictions(frame: DataFrame, k: int, weight: str | None = None) -> DataFrame:
+    """One column ``q_<recipe>`` per step list; parameter tables have at most 49 k rows.
+
+    The rows are read by every fit, so hand in a frame that is written.
+    """
+    rows = crossfit_post(frame, k, weight).withColumns({"q_none": F.col("A"), "q_blend": F.col("r1"), "q_blend_zero": F.expr("r1 * coalesce(zm, 1.0)"),
+                                                        "q_blend_zero_horizon": F.col("post")}).drop("wa", "r1", "zm", "hm", "post")
+    fits = [("horizon", ["h"], mult_errors(frame, ["fold", "h"], HORIZON_GRID, "A", weight), 0),
+            ("horizon_rounded", ["h"], rounded_errors(frame, ["fold", "h"], HORIZON_GRID, "A", weight), 0),
+            ("horizon_weekday", ["h", "d1_dow"], mult_errors(frame, ["fold", "h", "d1_dow"], HORIZON_GRID, "A", weight), MIN_BIN)]
+    for name, keys, errors, floor in fits:
+        table = crossfit_grid(errors, keys, HORIZON_GRID, k, "_m", floor)
+        rows = rows.join(F.broadcast(table), ["fold", *keys], "left").withColumn(f"q_{name}", F.expr("A * coalesce(_m, 1.0)")).drop("_m")
+    return rows
+
+
+def recipe_choice(frame: DataFrame, k: int, weight: str | None = None) -> DataFrame:
+    """Pooled cross-fitted scores of every step list; the least weighted error after rounding is chosen.
+
+    ``kept`` says whether a list is better than doing nothing. Ties go to the plainer list.
+    """
+    w, aggs, parts = weight or "1", [], []
+    for i, (name, steps) in enumerate(RECIPES):
+        q = f"q_{name}"
+        aggs += [F.expr(f"avg(abs(y - {q}))").alias(f"_p{i}"), F.expr(f"sum({w} * abs(y - {q})) / sum({w})").alias(f"_w{i}"),
+                 F.expr(f"sum({w} * {rounded_error(q, 1.0)}) / sum({w})").alias(f"_r{i}")]
+        parts.append(F.struct(F.lit(i).alias("place"), F.lit(name).alias("recipe"), F.lit(steps).alias("steps"), F.col(f"_p{i}").alias("plain"),
+                              F.col(f"_w{i}").alias("weighted"), F.col(f"_r{i}").alias("rounded")))
+    scores = recipe_predictions(frame, k, weight).agg(*aggs).withColumn("_none", F.col("_r0")).select("_none", F.inline(F.array(*parts)))
+    best = "min(struct(round(rounded, 9), place)) over ()"  # one row per recipe
+    return scores.selectExpr("recipe", "steps", "plain", "weighted", "rounded", "_none - rounded as gain",
+                             "int(round(_none - rounded, 9) > 0) as kept", f"int(place = ({best}).place) as chosen")
+
+
 # ------------------------------------------------------------------ absorbing zero
 def by_horizon(frame: DataFrame, pred: str) -> DataFrame:
     """One row per pair window with arrays over h 4..10 (NULL where a cell is missing)."""
