@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from launchgrid.catalog.base import CTES, Data, query, sql_bin
@@ -9,6 +11,7 @@ from launchgrid.catalog.calendar_queries import labelled_rows, uplift_rows
 from launchgrid.functions.joins import spread_join
 from launchgrid.functions.scalar import BACKOFF_EDGES, SCALE_EDGES, TREND_EDGES, right_closed_bin
 from launchgrid.operators import diagnose, folds, metrics, models, pair, selection, windows
+from launchgrid.session import durable
 
 CTES["it_d"] = "SELECT item, min(d1) AS d1, count(*) AS n_rows FROM pd GROUP BY item"
 CTES["gf_d"] = "SELECT item, CAST((row_number() OVER (ORDER BY item) - 1) % 5 AS INTEGER) AS fold FROM it_d"
@@ -287,6 +290,44 @@ def seed_average(d: Data):
     return metrics.seed_average(preds, ["item", "site", "off", "h"])
 
 
+# Selection over real fits: the key levels of the back-off medians, then the least group size.
+_BUNDLES = {"horizon": [["h"]], "weekday": [["h", "d1_dow"], ["h"]], "pattern": [["h", "pattern"], ["h"]], "whole": models.BACKOFF_LEVELS}
+_LEAST = [40, 20, 80]
+CTES["bkt"] = "SELECT b.* REPLACE (t.fold AS fold) FROM bk b JOIN tf_d t ON b.item = t.item"
+CTES["fits"] = " UNION ALL ".join(
+    f"SELECT '{b}' AS bundle, {n} AS least, {i} AS bpos, {j} AS npos, g.e AS group_score, t.e AS time_score FROM (SELECT avg(abs(y - pred)) AS e FROM ({_backoff_sql('bk', lv, 'median(y)', n, 'pred')}) a) g "
+    f"CROSS JOIN (SELECT avg(abs(y - pred)) AS e FROM ({_backoff_sql('bkt', lv, 'median(y)', n, 'pred')}) b) t" for i, (b, lv) in enumerate(_BUNDLES.items()) for j, n in enumerate(_LEAST))
+
+
+def _stage_sql(n: int, rows: str, pos: str) -> str:
+    """Configurations of one stage against its first, and the one that is chosen."""
+    return f"""SELECT *, CASE WHEN row_number() OVER (ORDER BY CASE WHEN accepted = 1 THEN 0 WHEN {pos} = 0 THEN 1 ELSE 2 END, mean, {pos}) = 1 THEN 1 ELSE 0 END AS chosen FROM
+      (SELECT r.*, {n} AS stage, (r.group_score + r.time_score) / 2 AS mean, (f.group_score - r.group_score + f.time_score - r.time_score) / 2 AS gain,
+        CASE WHEN least(f.group_score - r.group_score, f.time_score - r.time_score) > -1e-9 AND greatest(f.group_score - r.group_score, f.time_score - r.time_score) > 0.0005 THEN 1 ELSE 0 END AS accepted
+       FROM ({rows}) r CROSS JOIN (SELECT * FROM ({rows}) z WHERE {pos} = 0) f) s"""
+
+
+CTES["stage_a"] = _stage_sql(1, "SELECT * FROM fits WHERE npos = 0", "bpos")
+CTES["stage_b"] = _stage_sql(2, "SELECT * FROM fits WHERE bundle = (SELECT bundle FROM stage_a WHERE chosen = 1)", "npos")
+
+
+@query("stage_selection", "#stage bundle #least fingerprint ~group_score ~time_score ~mean ~gain #accepted #chosen",
+       """SELECT *, md5(concat('{"bundle":"', bundle, '","least":', least, '}')) AS fingerprint FROM (SELECT * FROM stage_a UNION ALL SELECT * FROM stage_b) u""")
+def stage_selection(d: Data):
+    """Greedy stages over back-off fits, scored on grouped folds and on time blocks, with a ledger of fits."""
+    late = folds.time_folds(group_items(d)).select("item", F.col("fold").alias("time_fold"))
+    rows = durable(spread_join(backoff_rows(d), late, ["item"], "site", "inner").selectExpr(
+        "h", "d1_dow", "pattern", "sb", "y", "fold as group_fold", "time_fold"))
+
+    def score(config: dict, scheme: str) -> float:
+        fit = models.backoff_fit_apply(rows.withColumn("fold", F.col(f"{scheme}_fold")), _BUNDLES[config["bundle"]], "median", config["least"], 5, "pred")
+        return fit.agg(F.avg(F.abs(F.col("y") - F.col("pred")))).first()[0]
+
+    ledger = f"{d.spark.sparkContext.getCheckpointDir()}/fits-{uuid.uuid4().hex}"
+    log = selection.choose_stages(d.spark, {"bundle": "horizon", "least": _LEAST[0]}, [("bundle", list(_BUNDLES)), ("least", _LEAST)], score, ledger)
+    return d.spark.createDataFrame(log, "stage int, bundle string, least int, fingerprint string, group_score double, time_score double, mean double, gain double, accepted int, chosen int")
+
+
 # A score log from the rows: configurations shrink model A, seeds are fifths of the items.
 CTES["slog"] = """SELECT c.config, c.n_features, CASE WHEN f.off % 2 = 0 THEN 'group' ELSE 'time' END AS scheme, k.fold AS seed, avg(abs(y - A * c.m)) AS score
   FROM fr f JOIN gf_d k ON f.item = k.item CROSS JOIN (VALUES ('base', 1.0, 40), ('c09', 0.9, 30), ('c07', 0.7, 35), ('c05', 0.5, 20)) c(config, m, n_features) GROUP BY 1, 2, 3, 4"""

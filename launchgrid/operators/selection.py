@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import hashlib
+import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor, as_completed
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+SCHEMES = ("group", "time")
 
 
 def two_scheme_gate(scores: DataFrame, base: str, margin: float = 0.0005) -> DataFrame:
@@ -43,3 +50,57 @@ def ledger_rank(entries: DataFrame, offset: float = 0.0087) -> DataFrame:
     """Runs by expected outside score, best first; runs without one at the end."""
     return entries.withColumn("expected", F.round(F.col("score") - F.lit(offset), 5)).withColumn(
         "place", F.row_number().over(Window.orderBy(F.asc_nulls_last("expected"), "file")))
+
+
+# ------------------------------------------------------------------ selection over fits
+def fingerprint(config: dict) -> str:
+    """The same key as ``config_fingerprint`` gives a row with these columns."""
+    return hashlib.md5(json.dumps(config, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def read_fits(spark: SparkSession, path: str) -> dict[tuple[str, str], float]:
+    """(fingerprint, scheme) to score of every fit the ledger holds, which is one row each; empty where there is none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return {}
+    return {(r.fingerprint, r.scheme): r.score for r in spark.read.schema("fingerprint string, scheme string, score double").parquet(path).collect()}
+
+
+def fit_scores(spark: SparkSession, configs: list[dict], score: Callable[[dict, str], float], path: str, at_once: int = 3) -> dict[tuple[str, str], float]:
+    """Scores of all configurations on every scheme; what the ledger at ``path`` holds is not fitted again.
+
+    ``score`` runs a fit as Spark jobs; a few run side by side. Each result is appended as soon as it is
+    there, so a run that broke off goes on where it was.
+    """
+    known = read_fits(spark, path)
+    todo = {(fingerprint(c), s): c for c in configs for s in SCHEMES if (fingerprint(c), s) not in known}
+    with ThreadPoolExecutor(at_once) as pool:
+        runs = {pool.submit(score, c, key[1]): key for key, c in todo.items()}
+        for done in as_completed(runs):
+            known[runs[done]] = done.result()
+            spark.createDataFrame([(*runs[done], known[runs[done]])], "fingerprint string, scheme string, score double").coalesce(1).write.mode("append").parquet(path)
+    return known
+
+
+def choose_stages(spark: SparkSession, start: dict, stages: list[tuple[str, list]], score: Callable[[dict, str], float], path: str,
+                  margin: float = 0.0005) -> list[dict]:
+    """Greedy choice, one setting per stage, the others as chosen so far; one record per configuration and stage.
+
+    A configuration takes the place of the stage's first one if it is worse on no scheme and better on one by
+    more than the margin; of several the least mean error wins, ties to the earlier value.
+    """
+    log, current = [], start
+    for n, (setting, values) in enumerate(stages, 1):
+        tried = [current] + [current | {setting: v} for v in values if v != current[setting]]
+        known = fit_scores(spark, tried, score, path)
+        rows = []
+        for c in tried:
+            own = {s: known[fingerprint(c), s] for s in SCHEMES}
+            gains = [known[fingerprint(current), s] - own[s] for s in SCHEMES]
+            rows.append({"stage": n, **c, "fingerprint": fingerprint(c), **{f"{s}_score": own[s] for s in SCHEMES}, "mean": sum(own.values()) / len(own),
+                         "gain": sum(gains) / len(gains), "accepted": int(min(gains) > -1e-9 and max(gains) > margin), "chosen": 0})
+        best = min((r for r in rows[1:] if r["accepted"]), key=lambda r: r["mean"], default=rows[0])
+        best["chosen"] = 1
+        current = {k: best[k] for k in start}
+        log += rows
+    return log

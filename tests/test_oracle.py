@@ -12,7 +12,7 @@ CORE = [
     "category_codes", "pair_coverage", "calendar_table", "feast_calendar", "calendar_diff", "site_stats", "site_dow_profile", "price_features",
     "pair_features", "pair_rank", "competition", "incumbents", "item_meta", "market_index", "market_ratio", "ratio_profile", "group_folds",
     "time_purge", "backoff_median", "mix_weights", "error_segments", "auc", "paired_bootstrap", "calibrate_blend", "quantile_snap",
-    "crossfit_post", "absorbing_zero", "monotone_curve", "optimal_multiplier", "build_output", "prob_variants", "minimax_regret", "response_curve",
+    "crossfit_post", "recipe_choice", "stage_selection", "shifted_features", "holdout_scores", "absorbing_zero", "monotone_curve", "optimal_multiplier", "build_output", "prob_variants", "minimax_regret", "response_curve",
 ]
 NAMES = list(CATALOG) if os.environ.get("LAUNCHGRID_ALL") else CORE
 
