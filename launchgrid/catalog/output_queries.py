@@ -10,9 +10,9 @@ from launchgrid.catalog.base import CTES, Data, query, sql_bin
 from launchgrid.catalog.calendar_queries import _CAL4, Calendar, labelled_rows, uplift_rows
 from launchgrid.catalog.metric_queries import _backoff_sql, folded
 from launchgrid.functions.ordered import ranked
-from launchgrid.operators import calendar as cal_ops, correct, diagnose, metrics, models, windows
+from launchgrid.operators import boosting, calendar as cal_ops, correct, diagnose, metrics, models, pair, windows
 from launchgrid.plans.features import feature_table
-from launchgrid.session import durable
+from launchgrid.session import durable, durable_parts
 
 # ------------------------------------------------------------------ requests and predictions
 _SEVEN = "(SELECT CAST(unnest([4,5,6,7,8,9,10]) AS INTEGER) AS h) hh"
@@ -244,53 +244,105 @@ def cutoff_filter(d: Data):
 
 
 # ------------------------------------------------------------------ models (rows only)
-def model_rows(d: Data):
+_MODEL_KEY = "item site #off #h #fold ~y "
+
+
+def plain_rows(d: Data):
+    """Features with keys, target and folds, not yet written."""
     rows = feature_table(d.dense_wide, Calendar(d.dense).cal)
-    keep = ["item", "site", "off", "h", "y", "scale", "qty"]
-    rows = folded(d, rows.select(*[F.col(c) for c in keep if c not in models.ML_FEATURES], *models.ML_FEATURES))
-    # Every fold's fit reads these rows; the checkpoint keeps them from being built once per fit.
-    return durable(models.assemble(rows, models.ML_FEATURES))
+    keep = ["item", "site", "off", "y", "scale", "qty"]
+    return folded(d, rows.select(*keep, *boosting.FEATURES))
+
+
+def model_rows(d: Data):
+    """Assembled rows in folders by horizon and fold: every fit reads its training folders only."""
+    return durable_parts(boosting.assemble(plain_rows(d), boosting.FEATURES), ["h", "fold"], "site")
 
 
-@query("ratio_model", "item site #off #h #fold ~y ~pred", None)
+def open_scores(d: Data):
+    """Opening window against mid-run window from the observed days, learnt from clear cases only; one row per pair."""
+    cols = ["r1", "r2", "r3", "lr31", "lr32", "log_scale", "qty_per_slot", "rng3"]
+    rows = folded(d, pair.pair_features(d.pairs)).withColumn("opens", (F.col("off") <= 2).cast("double"))
+    rows = durable(boosting.assemble(rows.select("item", "site", "off", "fold", "opens", *cols), cols))
+    return boosting.nested_predict(rows, lambda t: boosting.fit_flag(t.where("off <= 2 or off >= 6"), "opens"), "p_open", 5)
+
+
+def curve_scores(d: Data):
+    """Ratio of an item's window at each horizon, over all its sites; one row per (item, off, h)."""
+    rows = boosting.item_ratio_rows(folded(d, uplift_rows(d)))
+    rows = durable(boosting.assemble(rows, boosting.CURVE_FEATURES))
+    return boosting.nested_predict(rows, lambda t: boosting.fit_ratio(t, seeds=(0,)), "curve", 5)
+
+
+@query("ratio_model", _MODEL_KEY + "~pred ~rounds", None)
 def ratio_model(d: Data):
-    """Out-of-fold boosted ratio predictions."""
-    out = models.oof_predict(model_rows(d), lambda t: models.fit_ratio(t, rounds=5, depth=4), lambda s: s.withColumn("pred", F.greatest("prediction", F.lit(0.0))), 5)
-    return out
+    """Out-of-fold boosted ratio predictions, two seeds averaged, stopped on held-out items."""
+    return boosting.oof_predict(model_rows(d), boosting.fit_ratio, "pred", 5)
+
+
+@query("weighted_model", "weighting #n ~mase ~opening_mase ~rounds", None)
+def weighted_model(d: Data):
+    """Plain fits against fits in which rows of opening windows count three times, over all rows and over opening rows."""
+    rows = model_rows(d).withColumn("weight", F.when(F.col("off") <= 3, 3.0).otherwise(1.0))
+    fits = {"plain": None, "opening": "weight"}
+    out = [boosting.oof_predict(rows, lambda t, w=w: boosting.fit_ratio(t, seeds=(0,), weight=w), "pred", 5).withColumn("weighting", F.lit(n)) for n, w in fits.items()]
+    error = F.abs(F.col("y") - F.col("pred"))
+    return boosting.union(out).groupBy("weighting").agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("mase"),
+                                                        F.avg(F.when(F.col("off") <= 3, error)).alias("opening_mase"), F.avg("rounds").alias("rounds"))
+
+
+@query("horizon_model", _MODEL_KEY + "~pred model ~rounds", None)
+def horizon_model(d: Data):
+    """One model per horizon, the general one where a horizon has too few rows."""
+    return boosting.oof_horizons(model_rows(d), lambda t: boosting.fit_ratio(t, seeds=(0,)), "pred", 5)
+
+
+@query("two_part_model", _MODEL_KEY + "~p0 ~pos ~pred", None)
+def two_part_model(d: Data):
+    """Zero classifier and a regressor of the positive rows, each out of fold."""
+    return boosting.oof_two_part(model_rows(d), 5, lambda t: boosting.fit_flag(t, "zero"), lambda t: boosting.fit_ratio(t, seeds=(0,)))
+
+
+@query("stacked_model", _MODEL_KEY + "~p_open ~curve ~pred ~rounds", None)
+def stacked_model(d: Data):
+    """The ratio model with the opening score and the item curve as features, both nested out of fold."""
+    rows = boosting.join_nested(plain_rows(d), open_scores(d), ["item", "site", "off"], "p_open")
+    rows = boosting.join_nested(rows, curve_scores(d), ["item", "off", "h"], "curve")
+    parts = durable_parts(boosting.assemble(rows, boosting.FEATURES), ["h", "fold"], "site")
+    return boosting.oof_predict(parts, lambda t: boosting.fit_ratio(t, seeds=(0,)), "pred", 5, ["p_open", "curve"])
+
+
+@query("curve_model", "item #off #h #fold ~y ~curve", None)
+def curve_model(d: Data):
+    """Model form of the item curve, out of fold."""
+    return curve_scores(d).withColumn("curve", boosting.own_element("curve"))
 
 
 @query("zero_model", "#n #positives ~auc", None)
 def zero_model(d: Data):
     """AUC of the out-of-fold zero classifier."""
     rows = model_rows(d).withColumn("zero", (F.col("y") == 0).cast("double"))
-    out = models.oof_predict(rows, lambda t: models.fit_flag(t, "zero", rounds=5), lambda s: models.p_one(s, "p0"), 5)
-    return metrics.auc(out, "p0", F.col("y") == 0)
+    return metrics.auc(boosting.oof_predict(rows, lambda t: boosting.fit_flag(t, "zero"), "p0", 5), "p0", F.col("y") == 0)
 
 
 @query("adversarial", "#n #positives ~auc", None)
 def adversarial(d: Data):
-    """How well a classifier tells the pairs of the two fact views apart, on folds it has not seen."""
-    cols = ["scale", "t1", "t2", "t3", "shw1", "shw2", "shw3"]
-    side = lambda df, v: df.select(*cols, F.lit(v).alias("side"), F.pmod(F.xxhash64("item"), F.lit(2)).alias("fold"))
-    both = durable(models.assemble(side(d.pairs, 0.0).unionByName(side(windows.observed_pairs(d.sparse_wide), 1.0)), cols))
-    out = models.oof_predict(both, lambda t: models.fit_flag(t, "side", rounds=5), lambda s: models.p_one(s, "p"), 2)
-    return metrics.auc(out, "p", F.col("side") == 1)
+    """How well a classifier with every pair feature tells the pairs of the two fact views apart, on items it has not seen."""
+    cols = ["scale", "t1", "t2", "t3", "shw1", "shw2", "shw3", "occ1", "occ2", "occ3", "n1", "n2", "n3", *pair.PAIR_FEATURES]
+    side = lambda df, v: pair.pair_features(df).select("item", *cols, F.lit(v).alias("side"), F.pmod(F.xxhash64("item"), F.lit(5)).cast("int").alias("fold"))
+    both = durable(boosting.assemble(side(d.pairs, 0.0).unionByName(side(windows.observed_pairs(d.sparse_wide), 1.0)), cols))
+    return metrics.auc(boosting.oof_predict(both, lambda t: boosting.fit_flag(t, "side"), "p", 5), "p", F.col("side") == 1)
 
 
 @query("opening_classifier", "item site #off ~p_open", None)
 def opening_classifier(d: Data):
-    """Opening window against mid-run window from the observed days, out of fold; joins back as a feature."""
-    from launchgrid.operators.pair import pair_features
-
-    cols = ["r1", "r2", "r3", "lr31", "lr32", "log_scale", "qty_per_slot", "rng3"]
-    rows = folded(d, pair_features(d.pairs)).withColumn("opens", (F.col("off") <= 2).cast("double"))
-    rows = durable(models.assemble(rows.select("item", "site", "off", "fold", "opens", *cols), cols))
-    sharp = lambda t: models.fit_flag(t.where("off <= 2 or off >= 6"), "opens", rounds=5)
-    return models.oof_predict(rows, sharp, lambda s: models.p_one(s, "p_open"), 5)
+    """Probability of an opening window, out of fold; ``stacked_model`` uses it as a feature."""
+    return open_scores(d).withColumn("p_open", boosting.own_element("p_open"))
 
 
 @query("feature_gain", "feature ~gain #place", None)
 def feature_gain(d: Data):
+    """Gain over the models of all folds and two seeds."""
     rows = model_rows(d)
-    fits = [models.fit_ratio(rows, seed=s, rounds=3, depth=4) for s in (0, 1)]
-    return models.feature_gain(fits, models.ML_FEATURES, d.spark)
+    fits = boosting.side_by_side(lambda f: boosting.fit_ratio(rows.where(F.col("fold") != f)), range(5))
+    return boosting.feature_gain([m for seeds in fits for m in seeds], boosting.FEATURES, d.spark)

@@ -1,4 +1,4 @@
-"""Predictors: priors, back-off tables, item curves, and the pyspark.ml models."""
+"""Predictors without a learner: priors, back-off tables, item curves."""
 
 from __future__ import annotations
 
@@ -118,54 +118,3 @@ def item_curve_rows(wide_rows: DataFrame) -> DataFrame:
                       right_closed_bin(F.greatest(tot, F.lit(1)) / 1000.0, BACKOFF_EDGES).alias("size"),
                       right_closed_bin(F.col("ug"), TREND_EDGES).alias("up"),
                       (F.col("q") / F.greatest(tot / 3.0, F.lit(1.0))).alias("y"))
-
-
-# ------------------------------------------------------------------ pyspark.ml models
-ML_FEATURES = ["h", "r1", "r2", "r3", "log_scale", "lr31", "lr32", "nat_r31", "nat_log", "share3", "eff", "eff_diff", "dow", "d1_dow", "run_t"]
-
-
-def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
-    """Feature vector with unknown values as -1, and nothing else wide kept."""
-    from pyspark.ml.feature import VectorAssembler
-
-    filled = rows.select(*[c for c in rows.columns if c not in features],
-                         *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in features])
-    return VectorAssembler(inputCols=features, outputCol="features").transform(filled)
-
-
-def fit_ratio(train: DataFrame, seed: int = 0, rounds: int = 20, depth: int = 5, weight: str | None = None):
-    """Boosted trees on absolute error of the scaled target."""
-    from pyspark.ml.regression import GBTRegressor
-
-    m = GBTRegressor(featuresCol="features", labelCol="y", lossType="absolute", maxIter=rounds, maxDepth=depth, seed=seed,
-                     subsamplingRate=0.8, featureSubsetStrategy="0.7")
-    return (m.setWeightCol(weight) if weight else m).fit(train)
-
-
-def fit_flag(train: DataFrame, label: str, seed: int = 0, rounds: int = 10, depth: int = 4):
-    """Boosted classifier of a 0/1 column; its probability of 1 is ``probability[1]``."""
-    from pyspark.ml.classification import GBTClassifier
-
-    return GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed).fit(train)
-
-
-def p_one(scored: DataFrame, name: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    return scored.withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-
-
-def oof_predict(rows: DataFrame, fit, score, k: int) -> DataFrame:
-    """Fit on the other folds, score each fold. The loop starts one distributed fit per fold."""
-    out = None
-    for f in range(k):
-        train, hold = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
-        part = score(fit(train).transform(hold))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def feature_gain(models: list, features: list[str], spark) -> DataFrame:
-    """Mean importance of each feature over the models, ranked."""
-    rows = [(n, float(sum(m.featureImportances[i] for m in models) / len(models))) for i, n in enumerate(features)]
-    return spark.createDataFrame(rows, "feature string, gain double").withColumn("place", F.row_number().over(Window.orderBy(F.desc("gain"), "feature")))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -28,11 +29,28 @@ def durable(df: DataFrame) -> DataFrame:
 
     Only a local master may go without a folder; it then gets a temporary one.
     """
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def durable_parts(df: DataFrame, by: list[str], spread: str) -> DataFrame:
+    """The rows as a written table in folders by ``by``, so that a reader of some of them opens those files only.
+
+    Rows are dealt out by ``by`` and a hash of ``spread``: a large folder is written by many tasks, into one file each.
+    """
     spark = df.sparkSession
+    path = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+    salt = F.pmod(F.xxhash64(spread), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    df.repartition(*by, salt).write.partitionBy(*by).parquet(path)
+    return spark.read.parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between steps, which all executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="launchgrid-ckpt-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
