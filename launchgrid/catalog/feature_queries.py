@@ -6,9 +6,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from launchgrid.catalog.base import CTES, Data, query
+from launchgrid.catalog.base import CTES, SPARSE_OFFSETS, Data, query
 from launchgrid.catalog.calendar_queries import Calendar, labelled_rows, uplift_rows  # noqa: F401
 from launchgrid.catalog.window_queries import bad_spans
+from launchgrid.functions.joins import one_row
 from launchgrid.functions.scalar import FORMAT_WORDS
 from launchgrid.operators import competition as comp, models, pair, profile, release, site, windows
 
@@ -81,21 +82,29 @@ CTES["cumn_s"] = "SELECT ds, sum(cum) AS cum FROM cum_s GROUP BY ds"
 CTES["gno_s"] = "SELECT g.*, ln(1.0 + n.nt1 + n.nt2 + n.nt3) AS nat_log FROM gs g JOIN nat_s n ON g.item = n.item AND g.off = n.off"
 
 
-def _comp_sql(prefix: str, late: str, early: str) -> str:
+CTES["nat_o"] = CTES["nat_d"].replace("FROM wd", "FROM wo")
+CTES["gno_o"] = "SELECT g.*, ln(1.0 + n.nt1 + n.nt2 + n.nt3) AS nat_log FROM go g JOIN nat_o n ON g.item = n.item AND g.off = n.off"
+
+
+def _comp_sql(prefix: str, late: str, early: str, rows: str = "gno_s") -> str:
     return f"""SELECT *, {prefix}_nat - ln(1.0 + (exp(nat_log) - 1.0) / 3.0) AS {prefix}_nat_rel, {prefix}_cl - ln(1.0 + scale) AS {prefix}_cl_rel FROM
-      (SELECT g.*, ln(1.0 + greatest(a.cum - b.cum, 0)) AS {prefix}_nat, ln(1.0 + greatest(c.cum - e.cum, 0)) AS {prefix}_cl FROM gno_s g
+      (SELECT g.*, ln(1.0 + greatest(a.cum - b.cum, 0)) AS {prefix}_nat, ln(1.0 + greatest(c.cum - e.cum, 0)) AS {prefix}_cl FROM {rows} g
        JOIN cumn_s a ON a.ds = g.{late} JOIN cumn_s b ON b.ds = g.{early}
        JOIN cum_s c ON c.site = g.site AND c.ds = g.{late} JOIN cum_s e ON e.site = g.site AND e.ds = g.{early}) q"""
 
 
 CTES["comp_s"] = _comp_sql("comp", "ds", "d1 + 2")
+CTES["comp_o"] = _comp_sql("comp", "ds", "d1 + 2", "gno_o")
 CTES["prev_s"] = _comp_sql("prev", "d1 - 1", "d1 - 15")
 
 
+def opened_rows(wide):
+    """Target rows of the windows with the item's opening on them."""
+    return windows.target_rows(pair.item_opening(windows.observed_pairs(wide), wide))
+
+
 def sparse_rows(d: Data):
-    """Target rows of the release windows with the item's opening on them."""
-    opened = pair.item_opening(windows.observed_pairs(d.sparse_wide), d.sparse_wide)
-    return windows.target_rows(opened)
+    return opened_rows(d.sparse_wide)
 
 
 @query("release_pressure", "site $ds ~strength ~cum",
@@ -139,12 +148,15 @@ def nonfinite_report(d: Data):
           CASE WHEN ln_ THEN tn_r ELSE comp_nat_rel END AS comp_nat_rel, CASE WHEN lc_ THEN greatest(tc_r + ln(1.0 + scale), 0) ELSE comp_cl END AS comp_cl,
           CASE WHEN lc_ THEN tc_r ELSE comp_cl_rel END AS comp_cl_rel FROM
           (SELECT c.*, t.tn_r, t.tc_r, c.ds > (SELECT max(ds) FROM fs) AND coalesce(t.tn, 0) > 0 AS ln_, c.ds > (SELECT max(ds) FROM fs) AND coalesce(t.tc, 0) > 0 AS lc_
-           FROM comp_s c LEFT JOIN (SELECT h, isodow(d1) AS dw, median(comp_nat) AS tn, median(comp_nat_rel) AS tn_r, median(comp_cl) AS tc, median(comp_cl_rel) AS tc_r
+           FROM comp_o c LEFT JOIN (SELECT h, isodow(d1) AS dw, median(comp_nat) AS tn, median(comp_nat_rel) AS tn_r, median(comp_cl) AS tc, median(comp_cl_rel) AS tc_r
              FROM comp_s WHERE off = 0 GROUP BY h, isodow(d1)) t ON c.h = t.h AND isodow(c.d1) = t.dw) q""")
 def competition_imputed(d: Data):
-    rows = comp.competition(sparse_rows(d), comp.launch_strength(d.sparse, d.releases), d.sparse).withColumn("bad", F.lit(False))
+    """Every window with a known D3, also where its target days run past the last fact; typical values come from whole windows."""
+    wide = windows.window_wide(d.sparse, d.releases, SPARSE_OFFSETS, guard=False)
+    rows = comp.competition(opened_rows(wide), comp.launch_strength(d.sparse, d.releases), d.sparse)
     known = d.sparse.agg(F.max("ds").alias("last_known"))
-    return comp.impute_late(rows, comp.typical(rows), known)
+    whole = rows.crossJoin(one_row(known)).where("date_add(d1, 9) <= last_known").withColumn("bad", F.lit(False))
+    return comp.impute_late(rows, comp.typical(whole), known)
 
 
 _NORM = ("trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({t}), '[\\(\\[\\{{][^\\)\\]\\}}]*[\\)\\]\\}}]', ' ', 'g'), "
