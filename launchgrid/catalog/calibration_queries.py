@@ -274,7 +274,7 @@ _CELL = ["h", "d1_dow"]
 
 def _samples(d: Data):
     """True and predicted ratios of the release windows, the population the check is defined on."""
-    pool = d.frame.where("off = 0")
+    pool = d.opening_frame
     return pool.select(*_CELL, "y"), pool.select(*_CELL, F.col("A").alias("r"))
 
 

@@ -12,6 +12,7 @@ from launchgrid.catalog.window_queries import bad_spans
 from launchgrid.functions.joins import one_row
 from launchgrid.functions.scalar import FORMAT_WORDS
 from launchgrid.operators import competition as comp, models, pair, profile, release, site, windows
+from launchgrid.session import durable_table
 
 
 def to_sql(expr: str) -> str:
@@ -57,7 +58,8 @@ def opening_shape(d: Data):
              count(*) OVER (PARTITION BY item, off, t1 + t2 + t3) AS ties, count(*) OVER (PARTITION BY item, off) AS n,
              row_number() OVER (PARTITION BY item, off ORDER BY t1 + t2 + t3, site) AS rn FROM pd) x""")
 def pair_rank(d: Data):
-    return pair.pair_rank(d.pairs)
+    sold = windows.observed_pairs(d.dense_windows).select("item", "site", "off", "t1", "t2", "t3")
+    return pair.pair_rank(durable_table(sold))
 
 
 @query("sibling_features", "family " + _KEY + " #h #sib_n #sib_t3 #sib_t1 ~sib_sc ~sib_share ~sib_rel",

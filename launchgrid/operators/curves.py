@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from launchgrid.functions.joins import one_row
-from launchgrid.functions.ordered import HOT_VALUES, quantiles, running, weighted_median
+from launchgrid.functions.ordered import HOT_VALUES, count_below, quantiles, running, weighted_median
 from launchgrid.operators.calibrate import LEVEL_GRID, others
 from launchgrid.session import durable
 
+MOST_KNOTS = (1 << 16) - 1  # of one curve that is applied; fitted ones have one a bin
+
 
 def equal_count_edges(frame: DataFrame, keys: list[str], value: str, bins: int, hot: int = HOT_VALUES) -> DataFrame:
     """``keys, _edges``: the distinct quantiles at 0, 1 / bins, ..., 1, ascending.
@@ -35,8 +37,8 @@ def monotone_curve(frame: DataFrame, keys: list[str], pred: str = "A", bins: int
         rows, keys = rows.withColumn("_one", F.lit(0)), ["_one"]
     edges = durable(equal_count_edges(rows, keys, "x", bins, hot))
     # At most bins + 1 numbers per key; the keys are horizons and folds.
-    put = rows.join(F.broadcast(edges), keys).withColumn(
-        "_b", F.greatest(F.lit(0), F.least(F.size(F.filter("_edges", lambda e: e <= F.col("x"))) - 1, F.size("_edges") - 2)))
+    put = count_below(rows.join(F.broadcast(edges), keys), "_edges", F.col("x"), "_n", bins + 1, equal=True).withColumn(
+        "_b", F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.size("_edges") - 2))).drop("_edges", "_n")
     by = [*keys, "_b"]
     mid = quantiles(put, by, "x", {"x": 0.5}, hot=hot).where(F.col("n") >= least)
     knots = durable(mid.join(weighted_median(put, by, "y", "w", "y", hot=hot), by))
@@ -53,7 +55,7 @@ def apply_curve(frame: DataFrame, knots: DataFrame, keys: list[str], pred: str,
     """Linear interpolation between the knots, flat outside; a key without knots keeps its value."""
     lines = knots.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("_k"))
     out = frame.join(F.broadcast(lines), keys, "left") if keys else frame.crossJoin(one_row(lines))
-    out = out.withColumn("_i", F.size(F.filter("_k", lambda k: k["x"] <= F.col(pred))))
+    out = count_below(out, "_k", F.col(pred), "_i", MOST_KNOTS, lambda k: k["x"], equal=True)
     a, b = F.get("_k", F.col("_i") - 1), F.get("_k", F.col("_i"))
     inner = a["v"] + (b["v"] - a["v"]) * F.try_divide(F.col(pred) - a["x"], b["x"] - a["x"])
     return out.withColumn(name, F.when(F.col("_k").isNull(), F.col(pred)).when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(inner)).drop("_k", "_i")
