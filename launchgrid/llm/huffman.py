@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from launchgrid.llm.common import CLEAN_UP, discard, durable, pick, setting, shared_folder, ship, slices, tasks
+from launchgrid.llm.common import CLEAN_UP, discard, durable, own_caches, pick, setting, shared_folder, ship, slices, tasks
 from launchgrid.llm.vocab import json_encoder
 
 MAX_BITS = 18     # longest code; enough for 262,144 different ids
@@ -149,6 +149,11 @@ def id_counts(encoded: DataFrame) -> DataFrame:
     return encoded.where("counts is not null").select("counts").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def free_encoder() -> None:
+    """Writing and reading need no encoder: what the worker holds of the encoding step would count against their memory."""
+    own_caches("files", lambda: None)
+
+
 def write_files(docs: DataFrame, path: str, folder: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> None:
     """Write the ids of all documents in ascending key order to ``folder``.
 
@@ -171,6 +176,7 @@ def write_files(docs: DataFrame, path: str, folder: str, end_id: int = 0, key: s
     key_type = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        free_encoder()
         codes, bits = shared.value
         part, done = TaskContext.get().partitionId(), 0
         keys, sizes, held, n = [], [], [], 0
@@ -204,6 +210,24 @@ def write_files(docs: DataFrame, path: str, folder: str, end_id: int = 0, key: s
     discard(encoded)
 
 
+def decode_blocks(batches, lengths: np.ndarray, keep_ids: bool = False):
+    """Documents of blocks that know the first id of their part as ``base``."""
+    free_encoder()
+    decode = Table(lengths)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            get = lambda c: one.column(c)[0].as_py()
+            sizes = np.array(get("sizes"), np.int64)
+            ids = decode.unpack(get("bits"), get("n_ids"), np.frombuffer(get("checkpoints"), "<u8"))
+            start = np.cumsum(sizes) - sizes
+            raw = ids.astype("<u4").tobytes()
+            parts = [raw[4 * a: 4 * (a + n)] for a, n in zip(start.tolist(), sizes.tolist())]
+            cols = [one.column("doc_ids")[0].values, pa.array(start + (get("base") + get("first")), pa.int64()), pa.array(sizes, pa.int64()),
+                    pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(parts, pa.binary())] * keep_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids)
+
+
 def read_files(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of every document in the files of ``folder``."""
     ship(spark)
@@ -219,23 +243,8 @@ def read_files(spark: SparkSession, folder: str, keep_ids: bool = False) -> Data
         "part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     shared = spark.sparkContext.broadcast(lengths)
 
-    def run(batches):
-        decode = Table(shared.value)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                get = lambda c: one.column(c)[0].as_py()
-                sizes = np.array(get("sizes"), np.int64)
-                ids = decode.unpack(get("bits"), get("n_ids"), np.frombuffer(get("checkpoints"), "<u8"))
-                start = np.cumsum(sizes) - sizes
-                raw = ids.astype("<u4").tobytes()
-                parts = [raw[4 * a: 4 * (a + n)] for a, n in zip(start.tolist(), sizes.tolist())]
-                cols = [one.column("doc_ids")[0].values, pa.array(start + (get("base") + get("first")), pa.int64()), pa.array(sizes, pa.int64()),
-                        pa.array([zlib.crc32(p) for p in parts], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(parts, pa.binary())] * keep_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids)
-
     out = f"doc_id {key_type}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * keep_ids
-    return blocks.join(F.broadcast(base), "part").mapInArrow(run, out)
+    return blocks.join(F.broadcast(base), "part").mapInArrow(lambda batches: decode_blocks(batches, shared.value, keep_ids), out)
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:

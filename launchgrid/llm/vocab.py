@@ -11,7 +11,6 @@ import os
 import re
 from array import array
 from functools import lru_cache
-from itertools import chain
 
 from launchgrid.llm.common import own_caches
 
@@ -20,6 +19,8 @@ ENTRY_BYTES = 200  # of a chunk of a dozen characters with its few ids in a dict
 LONG = 48  # longer chunks are not kept
 PUNCT = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'  # fixed values: ASCII marks without the apostrophe
 _GAP = re.compile(r"(?<=\S)(?= \S)")
+_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]  # no later character is white space
+_ASCII_SPACES = [c for c in _SPACES if c.isascii()]
 
 
 def byte_table() -> list[str]:
@@ -29,6 +30,17 @@ def byte_table() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
+def single_gaps(text: str) -> bool:
+    """Whether all white space of a text is single spaces and line breaks between other characters."""
+    flat = text.replace("\n", " ")
+    if not flat or flat[0] == " " or flat[-1] == " " or "  " in flat:
+        return False
+    for c in _ASCII_SPACES if flat.isascii() else _SPACES:
+        if c in flat:
+            return False
+    return True
+
+
 def cut_bytes(text: str) -> list[str]:
     """Cut before single spaces and around single line breaks between other characters.
 
@@ -37,7 +49,7 @@ def cut_bytes(text: str) -> list[str]:
     """
     if "\x00" in text:
         return [text]
-    if text.split() == text.replace("\n", " ").split(" "):
+    if single_gaps(text):
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
     return _GAP.sub("\x00", text).split("\x00") if text else []
 
@@ -83,16 +95,21 @@ class Encoder:
         if len(known) * ENTRY_BYTES > CACHE_BYTES:
             known.clear()
         chunks, long = [self.cut(t) for t in texts], ()
-        new = set(chain.from_iterable(chunks)).difference(known)
-        if new:
+        found = [[*map(known.get, cs)] for cs in chunks]
+        gaps = [i for i, ids in enumerate(found) for x in ids if x is None]
+        if gaps:
+            gaps = dict.fromkeys(gaps)
+            new = {c for i in gaps for c, x in zip(chunks[i], found[i]) if x is None}
             apart = [(c, *x) for c in new if (x := self._atoms(c)) is not None]
             todo = new.difference([x[0] for x in apart])
             todo.update(a for x in apart for a in x[1:] if a not in known)
             todo = list(todo)
             known.update(zip(todo, self._encode(todo)))
             known.update((c, known[a] + known[b]) for c, a, b in apart)
-            long = {c for c in chain(new, todo) if len(c) > LONG}
-        out = [b"".join(map(known.__getitem__, cs)) for cs in chunks]
+            long = {c for c in [*new, *todo] if len(c) > LONG}
+            for i in gaps:
+                found[i] = map(known.__getitem__, chunks[i])
+        out = [*map(b"".join, found)]
         for c in long:
             del known[c]
         return out
