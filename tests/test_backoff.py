@@ -4,6 +4,7 @@ import random
 import statistics
 
 from launchgrid.operators import calibrate, models
+from pyspark.sql import functions as F
 
 LEVELS = [["h", "b"], ["h"]]
 
@@ -69,3 +70,13 @@ def test_crossfit_post_by_hand(spark):
             for r in rows:
                 if r[0] == f and r[1] == h:
                     assert abs(got[f, h, r[2]] - max(r1(r) * zm[tenth(r[4])] * hm, 0)) < 1e-9
+
+
+def test_one_fit_of_all_levels_serves_every_choice_of_them(spark):
+    df = spark.createDataFrame([(*r, r[1] * r[2] % 3) for r in sample()], "group_fold int, h int, b int, y double, time_fold int")
+    shared = models.scheme_medians(df, LEVELS, 3, ["group_fold", "time_fold"]).cache()
+    for scheme, levels, least in (("group_fold", LEVELS, 40), ("time_fold", LEVELS[1:], 40), ("time_fold", LEVELS[:1], 120)):
+        rows, own = df.withColumn("fold", F.col(scheme)), shared.where(F.col("scheme") == scheme)
+        want = models.backoff_fit_apply(rows, levels, "median", least, 3, "v")
+        got = models.backoff_from(own, rows, LEVELS, levels, least, "v")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
