@@ -15,6 +15,7 @@ from launchgrid.llm.vocab import json_encoder
 
 MAX_BITS = 18     # longest code; enough for 262,144 different ids
 STEP = 256        # ids between two bit checkpoints
+SLICE = 6_000_000  # bytes of text that a task encodes at once, more only where one document is longer
 BLOCK = 500_000   # ids in a block, more only where one document is longer
 
 
@@ -112,18 +113,19 @@ def encode_ids(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", tex
     ship(docs.sparkSession)
 
     def run(batches):
-        end = np.array([end_id], "<u4").tobytes()
         enc = json_encoder(path)
         kind = id_kind(enc.tokenizer.get_vocab_size())
         names, total = ["doc_id", "n_tokens", "ids", "counts"], np.zeros(1, np.int64)
         for batch in batches:
-            for part in slices(batch):
-                ids = [np.frombuffer(x + end, "<u4").astype(kind) for x in enc.encode(part.column(1).to_pylist())]
-                got = np.bincount(np.concatenate(ids))
+            for part in slices(batch, max(1, min(2048, SLICE * batch.num_rows // max(1, batch.column(1).nbytes)))):
+                ids, sizes = enc.encode_column(part.column(1).to_pylist())
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                got = np.bincount(ids)
                 total = np.pad(total, (0, max(0, len(got) - len(total))))
                 total[: len(got)] += got
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+                ids, at = ids.astype(kind), np.concatenate([[0], np.cumsum(sizes + 1)]) * np.dtype(kind).itemsize
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes + 1), packed, pa.nulls(len(sizes), pa.binary())], names)
         if total.any():
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(

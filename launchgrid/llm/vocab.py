@@ -12,6 +12,10 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from launchgrid.llm.common import own_caches
 
 CACHE_BYTES = 240_000_000
@@ -41,6 +45,13 @@ def single_gaps(text: str) -> bool:
     return True
 
 
+def mark_bytes(text: str) -> str:
+    """The text with a zero character at every cut; without zero characters of its own."""
+    if single_gaps(text):
+        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00")
+    return _GAP.sub("\x00", text)
+
+
 def cut_bytes(text: str) -> list[str]:
     """Cut before single spaces and around single line breaks between other characters.
 
@@ -49,9 +60,7 @@ def cut_bytes(text: str) -> list[str]:
     """
     if "\x00" in text:
         return [text]
-    if single_gaps(text):
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-    return _GAP.sub("\x00", text).split("\x00") if text else []
+    return mark_bytes(text).split("\x00") if text else []
 
 
 def cut_words(text: str) -> list[str]:
@@ -62,8 +71,9 @@ def cut_words(text: str) -> list[str]:
 class Encoder:
     """Ids of whole texts as little-endian bytes, by a tokenizers library object."""
 
-    def __init__(self, tokenizer, cut, words: bool = False):
+    def __init__(self, tokenizer, cut, words: bool = False, letters: bool = False):
         self.tokenizer, self.cut, self.words = tokenizer, cut, words
+        self.byte = byte_table() if letters else None  # the pattern takes any letters, with the space before them, as one match
         self.known: dict[str, bytes] = {}
 
     def _atoms(self, chunk: str) -> tuple[str, str] | None:
@@ -78,12 +88,14 @@ class Encoder:
         return None
 
     def _encode(self, atoms: list[str]) -> list[bytes]:
-        """Plain ASCII words, with the space before them, are one match each: straight to the merges."""
+        """Plain words, with the space before them, are one match each: straight to the merges."""
         tokenize, out, rest = self.tokenizer.model.tokenize, [b""] * len(atoms), []
         for i, a in enumerate(atoms):
             bare = a[1:] if a[:1] == " " else a
             if bare.isascii() and bare.isalpha() and (not self.words or a.islower() and bare is a):
                 out[i] = array("I", [t.id for t in tokenize(a if bare is a else "\u0120" + bare)]).tobytes()
+            elif self.byte and bare.isalpha() and max(bare) < "\u0250":  # Latin letters
+                out[i] = array("I", [t.id for t in tokenize("".join(map(self.byte.__getitem__, a.encode())))]).tobytes()
             else:
                 rest.append(i)
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([atoms[i] for i in rest], add_special_tokens=False)):
@@ -114,6 +126,57 @@ class Encoder:
             del known[c]
         return out
 
+    def encode_column(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has.
+
+        Arrow cuts the texts and numbers their distinct chunks, so that the cache is asked once per distinct chunk.
+        """
+        mark = mark_bytes if self.cut is cut_bytes else lambda t: "\x00".join(self.cut(t))
+        odd = {i: t for i, t in enumerate(texts) if "\x00" in t}  # zero characters of their own: one chunk each
+        cuts = pc.split_pattern(pa.array(["" if i in odd else mark(t) for i, t in enumerate(texts)], pa.large_string()), "\x00")
+        chunks = cuts.flatten().dictionary_encode()
+        distinct, number = chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), chunks.indices.to_numpy()
+        at = cuts.offsets.to_numpy().astype(np.int64)
+        if odd:
+            place = at[list(odd)] - at[0]  # an empty text has one chunk, the empty one
+            number = number.copy()
+            number[place] = len(distinct) + np.arange(len(odd))
+            distinct += odd.values()
+        blobs = self._lookup(distinct)
+        width = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        first = np.cumsum(width) - width
+        ids, each = np.frombuffer(b"".join(blobs), "<u4"), width[number]
+        end = np.cumsum(each)
+        spread = np.repeat(first[number] - (end - each), each)
+        spread += np.arange(len(spread))
+        ends = np.concatenate([[0], end])[at - at[0]]
+        return ids[spread], np.diff(ends)
+
+    def _lookup(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks, from the cache where it has them."""
+        known = self.known
+        if len(known) * ENTRY_BYTES > CACHE_BYTES:
+            known.clear()
+        found = [*map(known.get, chunks)]
+        gaps = [i for i, x in enumerate(found) if x is None]
+        if gaps:
+            new = [chunks[i] for i in gaps]
+            fresh = dict(zip(new, self._fresh(new), strict=True))
+            for i in gaps:
+                found[i] = fresh[chunks[i]]
+            known.update((c, x) for c, x in fresh.items() if len(c) <= LONG)
+        return found
+
+    def _fresh(self, new: list[str]) -> list[bytes]:
+        """Ids of chunks the cache does not have; the parts of those that come apart are kept as well."""
+        known, parts = self.known, [self._atoms(c) for c in new]
+        todo = dict.fromkeys(a for c, x in zip(new, parts) for a in (x or (c,)) if a not in known)
+        todo = [*todo]
+        own = dict(zip(todo, self._encode(todo), strict=True))
+        known.update((c, x) for c, x in own.items() if len(c) <= LONG)
+        get = lambda a: own[a] if a in own else known[a]
+        return [get(c) if x is None else get(x[0]) + get(x[1]) for c, x in zip(new, parts)]
+
 
 def _quiet() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
@@ -127,8 +190,10 @@ def json_encoder(path: str) -> Encoder:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    words = '"end_of_word_suffix":"</w>"' in t.to_str().replace(" ", "")
-    return Encoder(t, cut_words if words else cut_bytes, words)
+    text = t.to_str().replace(" ", "")
+    words = '"end_of_word_suffix":"</w>"' in text
+    letters = '"normalizer":null' in text and '"use_regex":true' in text and not words  # the byte-level pattern of the library
+    return Encoder(t, cut_words if words else cut_bytes, words, letters)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
