@@ -9,7 +9,7 @@ from launchgrid.catalog.metric_queries import folded, group_items
 from launchgrid.functions import ordered
 from launchgrid.functions.joins import spread_join
 from launchgrid.operators import calibrate as c, curves, folds, models
-from launchgrid.session import durable
+from launchgrid.session import durable, durable_table
 
 
 def _values(grid) -> str:
@@ -120,7 +120,8 @@ CTES["hm_t"] = "SELECT ff, h, hm FROM (" + _best_sql("ff, h", c.HORIZON_GRID, "a
        """SELECT f.item, f.site, f.off, f.h, f.fold, f.y, greatest((w.wa * A + (1 - w.wa) * B) * coalesce(z.zm, 1) * coalesce(m.hm, 1), 0) AS post FROM frf f
           JOIN wa_t w ON f.fold = w.ff LEFT JOIN zm_t z ON f.fold = z.ff AND f.zbin = z.zbin LEFT JOIN hm_t m ON f.fold = m.ff AND f.h = m.h""")
 def crossfit_post(d: Data):
-    return c.crossfit_post(folded(d, d.frame), 5, "w")
+    frame = d.frame.select("item", "site", "off", "h", "y", "w", "A", "B", "p0")
+    return c.crossfit_post(durable_table(folded(d, frame)), 5, "w")
 
 
 @query("crossfit_horizon", "#fold #h ~mult",

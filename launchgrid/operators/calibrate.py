@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from launchgrid.functions.joins import one_row
 from launchgrid.functions.ordered import quantiles
 from launchgrid.functions.scalar import tenth_bin
+from launchgrid.session import durable_table
 
 
 def _grid(lo: float, hi: float, step: float) -> list[float]:
@@ -219,9 +220,10 @@ def crossfit_post(frame: DataFrame, k: int, weight: str | None = None) -> DataFr
     A later fit for fold f sees the other folds' rows under fold f's own earlier parameters. There are
     k of those at most, so they travel as one array, and errors are summed per (parameters, own fold)
     in one pass; what fold f may see is a sum of those sums.
-    The parameter tables have at most k, 10 k and 7 k rows.
+    The parameter tables have at most k, 10 k and 7 k rows. Each is written, as a later plan would else hold
+    the plans of all earlier fits, several times over. The rows are read by every fit, so hand in a frame that is written.
     """
-    w = crossfit_grid(grid_errors(frame, ["fold"], BLEND_GRID, blend_error, weight), [], BLEND_GRID, k, "wa")
+    w = durable_table(crossfit_grid(grid_errors(frame, ["fold"], BLEND_GRID, blend_error, weight), [], BLEND_GRID, k, "wa"))
     weights = w.agg(F.map_from_entries(F.collect_list(F.struct("fold", "wa"))).alias("_wa"))
     rows = frame.withColumn("zbin", tenth_bin(F.col("p0"))).crossJoin(F.broadcast(weights))
     out = rows.withColumn("wa", F.col("_wa")[F.col("fold")]).withColumn("r1", F.expr("wa * A + (1 - wa) * B")).drop("_wa")
@@ -231,7 +233,7 @@ def crossfit_post(frame: DataFrame, k: int, weight: str | None = None) -> DataFr
         F.sum("n").alias("n"), F.sum("den").alias("den"), *[F.sum(F.col("errs")[i]).alias(f"_s{i}") for i in range(n)]).select(
         "fit_for", *keys, "n", "den", F.array(*[f"_s{i}" for i in range(n)]).alias("errs"))
     zero = of_fold(mult_errors(tried, ["wa", "fold", "zbin"], ZERO_GRID, "r1", weight), ["zbin"], len(ZERO_GRID))
-    zm = best_of(zero, ZERO_GRID, "zm", MIN_BIN).select("fit_for", "zbin", "zm")
+    zm = durable_table(best_of(zero, ZERO_GRID, "zm", MIN_BIN).select("fit_for", "zbin", "zm"))
     # A row of fold g trains the folds f <> g that have its blend, each with its own zero multiplier.
     steps = zm.join(w.select(F.col("fold").alias("fit_for"), "wa"), "fit_for").groupBy("wa", "zbin", "zm").agg(F.collect_list("fit_for").alias("fits"))
     second = tried.join(F.broadcast(steps), ["wa", "zbin"]).withColumn("r2", F.expr("r1 * zm"))
@@ -239,7 +241,7 @@ def crossfit_post(frame: DataFrame, k: int, weight: str | None = None) -> DataFr
     n = len(HORIZON_GRID)
     level = errs.withColumn("fit_for", F.explode("fits")).where("fold <> fit_for").groupBy("fit_for", "h").agg(
         F.sum("n").alias("n"), F.sum("den").alias("den"), *[F.sum(F.col("errs")[i]).alias(f"_s{i}") for i in range(n)])
-    hm = best_of(level.withColumn("errs", F.array(*[f"_s{i}" for i in range(n)])), HORIZON_GRID, "hm").select("fit_for", "h", "hm")
+    hm = durable_table(best_of(level.withColumn("errs", F.array(*[f"_s{i}" for i in range(n)])), HORIZON_GRID, "hm").select("fit_for", "h", "hm"))
     out = (out.join(F.broadcast(zm.withColumnRenamed("fit_for", "fold")), ["fold", "zbin"], "left")
            .join(F.broadcast(hm.withColumnRenamed("fit_for", "fold")), ["fold", "h"], "left"))
     return out.withColumn("post", F.expr("greatest(r1 * coalesce(zm, 1.0) * coalesce(hm, 1.0), 0.0)"))

@@ -72,6 +72,15 @@ def test_crossfit_post_by_hand(spark):
                     assert abs(got[f, h, r[2]] - max(r1(r) * zm[tenth(r[4])] * hm, 0)) < 1e-9
 
 
+def test_crossfit_post_does_not_hold_the_plans_of_its_fits(spark):
+    """The result reads the rows and three written parameter tables, so the driver's plan does not grow with the steps."""
+    rows = [(i % 3, 4 + i % 2, 1.0 + i % 5, 1.0 + i % 7, i % 10 / 10, 1.0 + i % 4, 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "fold int, h int, A double, B double, p0 double, y double, w bigint")
+    out = calibrate.crossfit_post(df, 3, "w")
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 4
+    assert out.count() == len(rows)
+
+
 def test_one_fit_of_all_levels_serves_every_choice_of_them(spark):
     df = spark.createDataFrame([(*r, r[1] * r[2] % 3) for r in sample()], "group_fold int, h int, b int, y double, time_fold int")
     shared = models.scheme_medians(df, LEVELS, 3, ["group_fold", "time_fold"]).cache()
