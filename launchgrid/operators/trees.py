@@ -1,0 +1,328 @@
+"""Gradient-boosted trees over rows that are binned once per fit.
+
+A fit keeps its rows as blocks of columns, one byte a value. Each level of each tree is one pass over the blocks that sums
+weights and residuals per (node, feature, bin) in the tasks; the sums are added up by a tree of tasks, and what the driver
+holds are those sums (nodes x features x bins) and the trees. All seeds of a fit share its passes. Draws are hashes of the
+rows' other columns and sums are whole numbers, so neither the order of rows nor their partitions change a tree.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, functions as F
+
+from launchgrid.session import ship
+
+BINS = 32
+SAMPLE = 10_000   # rows on which cut points are found, about
+UNIT = 1 << 20    # sums are kept in whole parts of this
+BLOCK = "bins binary, label binary, weight binary, draw binary, used long"
+
+
+@dataclass
+class Tree:
+    """Nodes in heap order; a node that is not split sends all rows left, to a node of its own value."""
+
+    feature: np.ndarray
+    cut: np.ndarray    # the last bin that goes left
+    value: np.ndarray
+
+    @staticmethod
+    def of_depth(depth: int) -> Tree:
+        inner = (1 << depth) - 1
+        return Tree(np.zeros(inner, np.int32), np.full(inner, 255, np.uint8), np.zeros(2 * inner + 1))
+
+
+@dataclass
+class Boosted:
+    """The trees of one seed, with cut points as values; the first tree counts whole, later ones by the step."""
+
+    loss: str
+    step: float
+    edges: list[np.ndarray]
+    trees: list[Tree] = field(default_factory=list)
+    gain: np.ndarray | None = None
+
+    def importances(self) -> np.ndarray:
+        """Part of each feature in what the splits took off the squared error."""
+        total = self.gain.sum()
+        return self.gain / total if total > 0 else self.gain
+
+    def value(self, features: str) -> Column:
+        """Probability of 1 for a flag, the number itself (not below 0) for a number; scores are computed in Arrow batches."""
+        score = scorer(self)(features)
+        return 1.0 / (1.0 + F.exp(-2.0 * score)) if self.loss == "flag" else F.expm1(F.greatest(score, F.lit(0.0)))
+
+
+def places(tree: Tree, columns, cuts, depth: int, n: int) -> np.ndarray:
+    """The place of every row among the nodes of level ``depth``: eight comparisons to a byte, and a look-up of the byte."""
+    byte, bit = np.empty(n, np.uint8), np.empty(n, np.uint8)
+
+    def compared(first: int, nodes: int) -> np.ndarray:
+        byte.fill(0)
+        for i in range(nodes):
+            if tree.cut[first + i] != 255:
+                np.greater(columns[tree.feature[first + i]], cuts[first + i], out=bit.view(bool))
+                np.bitwise_and(np.negative(bit, out=bit), 1 << i, out=bit)
+                np.bitwise_or(byte, bit, out=byte)
+        return byte
+
+    top = min(depth, 3)
+    at = np.take(PATHS[top], compared(0, (1 << top) - 1))
+    for level in range(3, depth):
+        right = np.zeros(n, np.uint8)
+        for k in range(0, 1 << level, 8):
+            side = (compared((1 << level) - 1 + k, 8) >> (at & 7)) & 1
+            right |= np.where(at >> 3 == k >> 3, side, 0).astype(np.uint8) if level > 3 else side
+        at = 2 * at + right
+    return at
+
+
+def paths(depth: int) -> np.ndarray:
+    """Where the comparisons of the first levels, as bits of a byte in heap order, lead."""
+    node = np.zeros(256, int)
+    for _ in range(depth):
+        node = 2 * node + 1 + (np.arange(256) >> node & 1)
+    return (node - (1 << depth) + 1).astype(np.uint8)
+
+
+PATHS = [paths(i) for i in range(4)]
+
+
+def leaf_values(tree: Tree, columns, cuts, n: int) -> np.ndarray:
+    depth = len(tree.value).bit_length() - 1
+    return np.take(tree.value[(1 << depth) - 1:], places(tree, columns, cuts, depth, n))
+
+
+def scorer(model: Boosted):
+    width, parts = len(model.edges), []
+    for i, t in enumerate(model.trees):
+        cuts = [model.edges[f][c] if c != 255 else np.inf for f, c in zip(t.feature, t.cut, strict=True)]
+        parts.append((t, cuts, 1.0 if i == 0 else model.step))
+
+    @F.arrow_udf("double")
+    def score(features: pa.Array) -> pa.Array:
+        columns = matrix(features, width)
+        out = np.zeros(len(features))
+        for t, cuts, weight in parts:
+            out += weight * leaf_values(t, columns, cuts, len(features))
+        return pa.array(out)
+
+    return score
+
+
+def matrix(features, width: int) -> np.ndarray:
+    """One contiguous row per feature."""
+    flat = np.asarray(features.flatten().to_numpy(zero_copy_only=False), float)
+    if len(flat) != len(features) * width or np.isnan(flat).any():
+        raise ValueError("features must hold one known number each")
+    return np.ascontiguousarray(flat.reshape(-1, width).T)
+
+
+def cut_points(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """At most ``BINS - 1`` values half-way between neighbours, near equal shares of the weight; between all, where there are few."""
+    found, at = np.unique(values, return_inverse=True)
+    middle = (found[:-1] + found[1:]) / 2
+    if len(middle) < BINS:
+        return middle
+    below, stride, out = np.cumsum(np.bincount(at, weights)), weights.sum() / BINS, []
+    target = stride
+    for i in range(1, len(found)):
+        if abs(below[i - 1] - target) < abs(below[i] - target):
+            out.append(middle[i - 1])
+            target += stride
+    return np.array(out[:BINS - 1])
+
+
+def in_blocks(edges: list[np.ndarray]):
+    """Rows as blocks: rows a fit learns from first, held-out rows after them, every feature as its bin."""
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held = b.column("check").to_numpy(zero_copy_only=False).astype(bool)
+            order = np.argsort(held, kind="stable")
+            put = lambda name: b.column(name).to_numpy(zero_copy_only=False)[order]
+            label, weight = (np.asarray(put(c), float) for c in ("label", "weight"))
+            if not np.isfinite(label).all() or not (weight >= 0).all():
+                raise ValueError("labels must be known, weights known and not negative")
+            columns = matrix(b.column("features"), len(edges))[:, order]
+            bins = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, columns, strict=True)]).astype(np.uint8)
+            row = (bins.tobytes(), label.tobytes(), b"" if (weight == 1).all() else weight.tobytes(), put("draw").astype(np.uint32).tobytes(), int((~held).sum()))
+            yield pa.RecordBatch.from_pylist([dict(zip(("bins", "label", "weight", "draw", "used"), row, strict=True))])
+
+    return run
+
+
+def share_of(draw: np.ndarray, seed: int, rounds: int) -> np.ndarray:
+    """A number from 0 to 1 per row, another one in every round of every seed."""
+    x = draw.astype(np.uint64) + np.uint64((seed * 1_000_003 + rounds + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) / 2.0**64
+
+
+def residuals(loss: str, label: np.ndarray, score: np.ndarray) -> np.ndarray:
+    if loss == "flag":
+        y = 2 * label - 1
+        return 4 * y / (1 + np.exp(2 * y * score))
+    return np.where(label >= score, 1.0, -1.0)
+
+
+def errors(loss: str, label: np.ndarray, score: np.ndarray) -> np.ndarray:
+    if loss == "flag":
+        return 2 * np.logaddexp(0, -2 * (2 * label - 1) * score)
+    return np.abs(label - score)
+
+
+@dataclass
+class Growing:
+    """A seed's trees so far, and the tree that is being grown; the rounds up to the best one and what they gained."""
+
+    model: Boosted
+    seed: int
+    tree: Tree
+    level: int = 0
+    error: float = np.inf
+    kept: int = 0
+    gain: np.ndarray | None = None
+
+    def in_vain(self, error: float, tol: float) -> bool:
+        """Whether the last tree lowered the held-out error too little; notes it as the best one otherwise."""
+        if self.error - error < tol * max(error, 0.01):
+            return True
+        self.error, self.kept, self.gain = error, len(self.model.trees), self.model.gain.copy()
+        return False
+
+    def grow(self, hist: np.ndarray, take: int) -> None:
+        """Splits the nodes of the level where that lowers the squared error most; after the last level the tree joins the others."""
+        depth, width, any_split = len(self.tree.value).bit_length() - 1, hist.shape[1], False
+        for i in range(1 << self.level):
+            node = (1 << self.level) - 1 + i
+            w, s = hist[:, :, i * BINS:(i + 1) * BINS] / UNIT
+            total_w, total_s = w[0].sum(), s[0].sum()
+            if total_w <= 0 or node and self.tree.cut[(node - 1) // 2] == 255:
+                continue
+            if not node:
+                self.tree.value[0] = total_s / total_w
+            draw = np.random.default_rng([self.seed, len(self.model.trees), node])
+            some = np.sort(draw.choice(width, take, replace=False))
+            lw, ls = np.cumsum(w[some], 1)[:, :-1], np.cumsum(s[some], 1)[:, :-1]
+            rw, rs = total_w - lw, total_s - ls
+            ok = (lw > 0.5 / UNIT) & (rw > 0.5 / UNIT)
+            gain = np.where(ok, ls**2 / np.where(ok, lw, 1) + rs**2 / np.where(ok, rw, 1) - total_s**2 / total_w, 0)
+            best = np.unravel_index(np.argmax(gain), gain.shape)
+            if gain[best] <= 1e-9 * total_w:
+                continue
+            any_split = True
+            self.tree.feature[node], self.tree.cut[node] = some[best[0]], best[1]
+            self.tree.value[2 * node + 1], self.tree.value[2 * node + 2] = ls[best] / lw[best], rs[best] / rw[best]
+            self.model.gain[some[best[0]]] += gain[best]
+        self.level += 1
+        if self.level == depth or not any_split:
+            for node in np.flatnonzero(self.tree.cut == 255):
+                self.tree.value[2 * node + 1] = self.tree.value[node]
+            self.model.trees.append(self.tree)
+            self.tree, self.level = Tree.of_depth(depth), 0
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * UNIT)
+
+
+def sums_of(growing: list[Growing], width: int, share: float):
+    """Per seed: weight and weighted residual by (node, feature, bin) of the current level, and the held-out error of the trees so far."""
+
+    def run(blocks: Iterator) -> Iterator:
+        hist = [np.zeros((2, width, (1 << g.level) * BINS), np.int64) for g in growing]
+        held = np.zeros((len(growing), 2), np.int64)
+        for b in blocks:
+            label = np.frombuffer(b.label)
+            n, used = len(label), b.used
+            columns = np.frombuffer(b.bins, np.uint8).reshape(width, n)
+            weight = np.frombuffer(b.weight) if b.weight else np.ones(n)
+            draw = np.frombuffer(b.draw, np.uint32)[:used]
+            for k, g in enumerate(growing):
+                m = n if g.level == 0 else used  # held-out rows are scored once per round
+                score = np.zeros(m)
+                for i, t in enumerate(g.model.trees):
+                    score += (1.0 if i == 0 else g.model.step) * leaf_values(t, columns[:, :m], t.cut, m)
+                mine = label if g.model.loss == "number" else 2 * label - 1
+                target = residuals(g.model.loss, label[:used], score[:used]) if g.model.trees else mine[:used]
+                if g.level == 0 and g.model.trees:
+                    w = whole(weight[used:])
+                    held[k] += np.array([w.sum(), np.rint(w * errors(g.model.loss, label[used:], score[used:])).sum()]).astype(np.int64)
+                drawn, nodes = share_of(draw, g.seed, len(g.model.trees)) < share, 1 << g.level
+                at = places(g.tree, columns[:, :used], g.tree.cut, g.level, used).astype(np.intp)
+                if b.weight or g.model.loss == "flag" or not g.model.trees:
+                    w = whole(weight[:used] * drawn)
+                    s = np.rint(w * target)
+                    for j in range(width):
+                        cell = at * BINS + columns[j, :used]
+                        hist[k][0, j] += np.bincount(cell, w, nodes * BINS).astype(np.int64)
+                        hist[k][1, j] += np.bincount(cell, s, nodes * BINS).astype(np.int64)
+                else:  # every row counts one, up or down
+                    base = np.where(drawn, 2 * at + (target > 0), 2 * nodes) * BINS
+                    for j in range(width):
+                        down, up = np.bincount(base + columns[j, :used], minlength=(2 * nodes + 1) * BINS)[:2 * nodes * BINS].reshape(nodes, 2, BINS).swapaxes(0, 1)
+                        hist[k][0, j] += ((up + down) * UNIT).ravel()
+                        hist[k][1, j] += ((up - down) * UNIT).ravel()
+        yield hist, held
+
+    return run
+
+
+def added(a, b):
+    return [x + y for x, y in zip(a[0], b[0], strict=True)], a[1] + b[1]
+
+
+def fit(train: DataFrame, label: str, loss: str, seeds, rounds: int, blind: int, depth: int, step: float, share: float, features: float,
+        tol: float, weight: str | None = None) -> list[Boosted]:
+    """One model per seed. ``loss``: absolute error of the logarithm of a ``number``, log loss of a 0/1 ``flag``; the first tree fits means.
+
+    ``share`` of the rows is drawn for each tree, ``features`` is the part of the features that each node may split by. Rows
+    marked ``check`` tell when to stop: a round that lowers their error by less than ``tol`` of it is the last, and the rounds up
+    to the best one stay. Without rows on both sides at most ``blind`` rounds run.
+    """
+    ship(train.sparkSession)
+    keys = [c for c, kind in train.dtypes if c not in ("check", label, weight) and kind in ("string", "int", "bigint", "date", "double")] or ["features"]
+    rows = train.select("features", "check", (F.log1p(label) if loss == "number" else F.col(label).cast("double")).alias("label"),
+                        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"),
+                        F.xxhash64(*keys).bitwiseAND(0xFFFFFFFF).alias("draw"))
+    sides = rows.agg(F.count_if("check").alias("held"), F.count_if(~F.col("check")).alias("used")).first()
+    checked = sides.held > 0 and sides.used > 0
+    if not sides.held + sides.used:
+        raise ValueError("no rows to learn from")
+    if not checked:
+        rows, rounds = rows.withColumn("check", F.lit(False)), min(rounds, blind)
+    part = int(SAMPLE / (sides.used if checked else sides.used + sides.held) * 1_000_003)
+    sample = rows.where(~F.col("check")).where(F.col("draw") % 1_000_003 <= part).select("features", "weight").toArrow().combine_chunks()
+    width = len(sample.column("features")[0])
+    edges = [cut_points(c, sample.column("weight").to_numpy()) for c in matrix(sample.column("features").combine_chunks(), width)]
+    blocks = rows.mapInArrow(in_blocks(edges), BLOCK).rdd.persist(StorageLevel.MEMORY_AND_DISK)
+    growing = [Growing(Boosted(loss, step, edges, gain=np.zeros(width)), s, Tree.of_depth(depth)) for s in seeds]
+    todo = list(growing)
+    try:
+        while todo:
+            hist, held = blocks.mapPartitions(sums_of(todo, width, share)).treeReduce(added)
+            for g, h, (w, e) in zip(list(todo), hist, held, strict=True):
+                trees = len(g.model.trees)
+                vain = checked and g.level == 0 and trees > 0 and g.in_vain(e / max(w, 1), tol)
+                if vain or g.level == 0 and trees >= rounds:
+                    todo.remove(g)
+                else:
+                    g.grow(h, max(1, int(np.ceil(features * width))))
+                    if not checked and len(g.model.trees) >= rounds:
+                        todo.remove(g)
+    finally:
+        blocks.unpersist()
+    for g in growing:
+        if checked:
+            g.model.trees, g.model.gain = g.model.trees[:g.kept], g.gain
+    return [g.model for g in growing]

@@ -1,0 +1,97 @@
+"""The learner against plain loops, and its results on rows in any order."""
+
+import random
+from types import SimpleNamespace
+
+import numpy as np
+import pytest
+from launchgrid.operators import boosting, trees
+from launchgrid.session import durable
+from pyspark.sql import functions as F
+
+COLS = ["a", "b"]
+
+
+def rows_of(spark, n=900, weight=False):
+    rng = random.Random(4)
+    rows = [(str(i % 30), f"s{i}", a := rng.randrange(5) / 4, b := rng.random(), (1 + a) * (2 if b > 0.6 else 1) + rng.random() / 9, 1.0 + i % 3) for i in range(n)]
+    return boosting.assemble(spark.createDataFrame(rows, "item string, site string, a double, b double, y double, w double"), COLS)
+
+
+def test_order_and_partitions_do_not_change_the_trees(spark):
+    """Sample, bags and sums follow from the rows alone."""
+    rows = durable(rows_of(spark))
+    got = []
+    for df in (rows.coalesce(1), rows.repartition(5, "b").sortWithinPartitions("b"), rows.orderBy(F.desc("y"))):
+        fits = boosting.fit_ratio(df, seeds=(0, 1), rounds=4, weight="w")
+        got.append((boosting.rounds_of(fits), [tuple(r) for r in boosting.predict(fits, rows, "p").select("site", "p").orderBy("site").collect()]))
+    assert got[0] == got[1] == got[2] and len({p for _, p in got[0][1]}) > 5
+
+
+def test_first_split_is_the_best_of_all(spark):
+    """One tree of one split over all rows and features: means of the logarithm on both sides of the cut with the least squared error."""
+    rows = durable(rows_of(spark).withColumn("check", F.lit(False)))
+    m, = trees.fit(rows, "y", "number", (0,), 1, 1, 1, 0.25, 1.0, 1.0, 0.0, "w")
+    data = [(r.features, np.log1p(r.y), r.w) for r in rows.collect()]
+    best = []
+    for j in range(2):
+        for cut in m.edges[j]:
+            sides = [[(y, w) for x, y, w in data if (x[j] > cut) == up] for up in (False, True)]
+            means = [sum(y * w for y, w in s) / sum(w for _, w in s) for s in sides]
+            best.append((sum(w * (y - mean) ** 2 for s, mean in zip(sides, means, strict=True) for y, w in s), j, cut, means))
+    _, j, cut, means = min(best)
+    t = m.trees[0]
+    assert (t.feature[0], m.edges[t.feature[0]][t.cut[0]]) == (j, cut)
+    assert list(t.value[1:]) == pytest.approx(means, abs=1e-5)
+    assert list(m.importances()) == pytest.approx([float(i == j) for i in range(2)])
+
+
+@pytest.mark.parametrize("depth", [1, 3, 4, 6])
+def test_places_follow_the_nodes(depth):
+    rng = np.random.default_rng(depth)
+    columns, tree = rng.integers(0, 32, (5, 700)).astype(np.uint8), trees.Tree.of_depth(depth)
+    tree.feature[:], tree.cut[:] = rng.integers(0, 5, len(tree.feature)), rng.choice([255, 5, 16, 25], len(tree.cut))
+    for level in range(depth + 1):
+        at = np.zeros(700, int)
+        for i in range(level):
+            node = (1 << i) - 1 + at
+            at = 2 * at + (columns[tree.feature[node], np.arange(700)] > tree.cut[node])
+        assert (at == trees.places(tree, columns, tree.cut, level, 700)).all()
+
+
+def test_counts_of_ups_and_downs_are_the_weighted_sums():
+    rng = np.random.default_rng(1)
+    n, width, tree = 500, 3, trees.Tree.of_depth(2)
+    tree.cut[:], tree.value[:] = (10, 20, 255), rng.random(7)
+    block = {"bins": rng.integers(0, 32, (width, n)).astype(np.uint8).tobytes(), "label": rng.random(n).tobytes(), "draw": rng.integers(0, 1 << 32, n).astype(np.uint32).tobytes(), "used": 400}
+    for level in range(2):
+        g = trees.Growing(trees.Boosted("number", 0.25, [], [tree, tree]), 3, tree, level)
+        one, two = (next(trees.sums_of([g], width, 0.8)(iter([SimpleNamespace(**block, weight=w)]))) for w in (b"", np.ones(n).tobytes()))
+        assert (one[0][0] == two[0][0]).all() and (one[1] == two[1]).all() and one[0][0].any()
+        assert one[1].any() == (level == 0)
+
+
+def test_cut_points_part_the_weight_evenly():
+    few = trees.cut_points(np.array([1.0, 2, 2, 4]), np.ones(4))
+    assert list(few) == [1.5, 3.0]
+    many = trees.cut_points(np.arange(1000.0), np.where(np.arange(1000) < 500, 3.0, 1.0))
+    assert len(many) == trees.BINS - 1 and (np.diff(many) > 0).all() and 23 <= (many < 499.5).sum() <= 24
+
+
+def test_unknown_values_end_the_fit(spark):
+    rows = rows_of(spark, 60)
+    for bad in (rows.withColumn("y", F.when(F.col("site") != "s3", F.col("y"))), rows.withColumn("features", F.array("a", F.lit(float("nan"))))):
+        with pytest.raises(Exception, match="must"):
+            boosting.fit_ratio(bad, rounds=2)
+    with pytest.raises(ValueError, match="no rows"):
+        boosting.fit_ratio(rows.where("item = 'none'"))
+
+
+def test_nested_values_join_without_copies_of_their_table(spark):
+    """The table of nested values is shuffled once, and assembled rows hold each feature once."""
+    table = spark.createDataFrame([("1", 0, [0.5]), ("2", 0, [0.7])], "item string, off int, p array<double>")
+    rows = spark.createDataFrame([("1", "a", 0), ("1", "b", 0), ("3", "a", 0), (None, "a", 0)], "item string, site string, off int")
+    out = boosting.join_nested(rows, table, ["item", "off"], "p")
+    assert sorted((r.item or "", r.site, r.p) for r in out.collect()) == [("", "a", None), ("1", "a", [0.5]), ("1", "b", [0.5]), ("3", "a", None)]
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert boosting.slim(rows_of(spark, 9), ["item", "y"]).columns == ["item", "y", "check", "features"]
